@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, chat, fingerprint, mixing, secrets
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -15,8 +15,30 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(table(spark, sf_dir, "documents"))
+
+
+def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_secrets": op4_secrets,
+    "op6_mixing": op6_mixing,
+    "op7_merkle": op7_merkle,
+    "op8_perspectives": op8_perspectives,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_perspectives": chat.ORACLE_SQL,
+}
