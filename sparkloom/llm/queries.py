@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprint, mixing, secrets
+from . import bpe, chat, fingerprint, line_dedup, media, mixing, quality, secrets
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -15,6 +15,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -31,12 +39,19 @@ def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.report(media.read(media.store(table(spark, sf_dir, "documents")), tensors=False))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op6_mixing": op6_mixing,
     "op7_merkle": op7_merkle,
     "op8_perspectives": op8_perspectives,
+    "op9_media": op9_media,
 }
 
 ORACLES: dict[str, str] = {
