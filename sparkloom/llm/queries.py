@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprint, line_dedup, media, mixing, quality, secrets
+from . import bpe, chat, fingerprint, jaccard_join, line_dedup, media, mixing, quality, secrets, suffix_dedup
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
@@ -43,15 +47,21 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.report(media.read(media.store(table(spark, sf_dir, "documents")), tensors=False))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixing": op6_mixing,
     "op7_merkle": op7_merkle,
     "op8_perspectives": op8_perspectives,
     "op9_media": op9_media,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
