@@ -184,11 +184,11 @@ def cotrain(views: tuple[Rows, Rows], y: np.ndarray, held: np.ndarray, pool: tup
     return Head(models[0], models[1], join)
 
 
-def _inputs(df: DataFrame, key: str) -> DataFrame:
+def _inputs(df: DataFrame, key: str, *more: str) -> DataFrame:
     has = set(df.columns)
     column = lambda c, t: (F.col(f"`{c}`") if c in has else F.lit(None)).cast(t).alias(c)
     text = text_or_empty()
-    return df.select(F.col(f"`{key}`").alias("k"), text.alias("text"), column("source", "string"), column("lang", "string"), F.length(text).cast("long").alias("n_chars"))
+    return df.select(F.col(f"`{key}`").alias("k"), text.alias("text"), column("source", "string"), column("lang", "string"), F.length(text).cast("long").alias("n_chars"), *more)
 
 
 def _features(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -242,9 +242,14 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int =
     return heads
 
 
-def score(df: DataFrame, heads: dict[str, Head], key: str = "doc_id") -> DataFrame:
-    """df's key as k, quality_score and toxic_score of every row (probabilities)."""
+def score(df: DataFrame, heads: dict[str, Head], key: str = "doc_id", carry: bool = False) -> DataFrame:
+    """df's key as k, quality_score and toxic_score of every row (probabilities); carry: all columns of df besides."""
     source = _inputs(df, key)
+    names = ["k"]
+    if carry:
+        names += [f"__c{i}" for i in range(len(df.columns))]
+        whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        source = _inputs(df.withColumn("__whole", whole), key, "__whole").select("k", "text", "source", "lang", "n_chars", *[F.col("__whole")[c].alias(f"__c{i}") for i, c in enumerate(df.columns)])
     shipped = df.sparkSession.sparkContext.broadcast({n: (h.text.w.astype(np.float32), h.text.b, h.meta.w.astype(np.float32), h.meta.b, h) for n, h in heads.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +261,10 @@ def score(df: DataFrame, heads: dict[str, Head], key: str = "doc_id") -> DataFra
                 a = np.array([tw[x].sum(dtype=np.float64) / np.sqrt(max(1, len(x))) for x in text]) + tb
                 b = np.array([mw[x].sum(dtype=np.float64) / np.sqrt(max(1, len(x))) for x in meta]) + mb
                 out.append(pa.array(head.probability(a, b), pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=["k", "quality_score", "toxic_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[5:], *out], names=[*names, "quality_score", "toxic_score"])
 
-    return source.mapInArrow(run, f"k {source.dtypes[0][1]}, quality_score double, toxic_score double")
+    kinds = dict(source.dtypes)
+    return source.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", quality_score double, toxic_score double")
 
 
 @dataclass
@@ -274,6 +280,16 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", limits: Limi
     own. Repeated rows get equal scores. With labels of one class only, or too few, scores are the labels' share and
     with none all documents are kept. An empty table gives an empty one. Other columns are left out.
     """
-    limits = limits or Limits()
     s = score(df, train(df, labels, key), key)
-    return s.select(F.col("k").alias(key), "quality_score", "toxic_score", ((F.col("quality_score") >= limits.quality) & (F.col("toxic_score") < limits.toxic)).alias("keep"))
+    return s.select(F.col("k").alias(key), "quality_score", "toxic_score", _passes(limits).alias("keep"))
+
+
+def _passes(limits: Limits | None):
+    limits = limits or Limits()
+    return (F.col("quality_score") >= limits.quality) & (F.col("toxic_score") < limits.toxic)
+
+
+def keep(df: DataFrame, heads: dict[str, Head], key: str = "doc_id", limits: Limits | None = None) -> DataFrame:
+    """The rows of df that classify() keeps, with all their columns; no join is needed."""
+    passed = score(df, heads, key, carry=True).where(_passes(limits))
+    return passed.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(df.columns)])
