@@ -2,10 +2,11 @@
 
 Between nearly all pairs of documents the Jaccard distance is 1, so documents drawn as pivots would put nearly every
 document at equal distance from all of them, and their Voronoi regions would not divide the corpus. The regions of the
-first level are therefore those of small random pivot sets: a document belongs to the region of the least three
-shingles, by hash, of each of 64 parts of the hash space (and of each single shingle if it has few). Two documents at
-distance 0.2 or less share no region with probability below 1e-17, less than that two different shingles share their
-64-bit hash. Within each region
+first level are therefore those of small pivot sets. A document of more than 64 shingles belongs to the region of the least
+three, by hash, of each of 64 parts of the hash space: two of them at distance 0.2 or less share fewer than SHARED
+regions with a probability below 1e-12. One of up to 80 belongs to the regions of its rarest single shingles, a fifth
+of all and one more, in one order by exact counts: two documents at distance 0.2 or less always share one of those.
+Within each region
 
 1. documents of equal sets are one class, and the class of the least id is the region's pivot: each class is compared
    with the pivot that it shares most regions with, exactly, on the whole texts;
@@ -28,16 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, text_or_empty
+from .common import Stored, release, small_batches, text_or_empty
 
 WORDS = 5
 #: A link needs NEAR[0] * union <= NEAR[1] * intersection.
 NEAR = (4, 5)
-PARTS, DEPTH, FEW = 64, 3, 50
-#: Equal parts that a pair of larger sets must show: fewer have a probability below 1e-15 at the limit.
-SHARED, SMALL = 4, 64
+PARTS, DEPTH, BITS = 64, 3, 512
+#: Equal parts that a pair of larger sets must show: fewer have a probability below 1e-12 at the limit.
+SHARED = 6
+#: Sets of up to SMALL shingles are found by their rarest ones, as are what they link with, up to a quarter larger.
+SMALL, SMALL_PARTNER = 64, 80
 LARGE, DIVIDE = 4096, 2
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 ROWS = 512
 
 
@@ -80,7 +83,8 @@ _EDGES = np.arange(PARTS, dtype=np.uint64) << np.uint64(58)
 
 
 def regions(s: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Keys of the regions of a set, and a byte for each part (0: empty)."""
+    """Keys of the regions of a larger set; and its sketch: a byte for each part (0: empty), and a bit for each of 512
+    values of the low bits of its hashes that occurs."""
     start = np.searchsorted(s, _EDGES)
     end = np.append(start[1:], len(s))
     key = np.zeros(PARTS, np.uint64)
@@ -89,22 +93,21 @@ def regions(s: np.ndarray) -> tuple[np.ndarray, bytes]:
         key[there] += s[start[there] + k] * _POWERS[k]
     key = _mix(key + np.arange(1, PARTS + 1, dtype=np.uint64))
     full = end > start
-    sketch = np.where(full, key % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
-    keys = key[full]
-    if len(s) <= FEW:
-        keys = np.concatenate([keys, _mix(s + np.uint64(0x51ED270B))])
-    return keys, sketch.tobytes()
+    parts = np.where(full, key % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
+    bits = np.zeros(BITS, np.uint8)
+    bits[s & np.uint64(BITS - 1)] = 1
+    return key[full] if len(s) > SMALL else key[:0], parts.tobytes() + np.packbits(bits).tobytes()
 
 
 def describe(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k, n, a, b (128 bits that stand for the set), sketch and regions of every document."""
+    """k, n, a, b (128 bits that stand for the set), sketch, regions, and the shingles of small sets, of every document."""
     source = df.select(F.col(f"`{key}`").cast("long").alias("k"), text_or_empty(f"`{text}`").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                n, a, sketches, keys = [], [], [], []
+                n, a, sketches, keys, few = [], [], [], [], []
                 for text in batch.column(1).to_pylist():
                     s = shingles(text)
                     r, sketch = regions(s)
@@ -112,16 +115,29 @@ def describe(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                     a.append(blake2b(s.tobytes(), digest_size=16).digest())
                     sketches.append(sketch)
                     keys.append(r)
+                    few.append(s if len(s) <= SMALL_PARTNER else s[:0])
                 ab = np.frombuffer(b"".join(a), np.int64).reshape(-1, 2)
-                offsets = np.zeros(len(keys) + 1, np.int32)
-                np.cumsum([len(x) for x in keys], out=offsets[1:])
-                flat = pa.array(np.concatenate(keys).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                    names=["k", "n", "a", "b", "sketch", "regions"],
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(sketches, pa.binary()), _lists(keys), _lists(few)],
+                    names=["k", "n", "a", "b", "sketch", "regions", "few"],
                 )
 
-    return source.mapInArrow(run, "k bigint, n bigint, a bigint, b bigint, sketch binary, regions array<bigint>")
+    return source.mapInArrow(run, "k bigint, n bigint, a bigint, b bigint, sketch binary, regions array<bigint>, few array<bigint>")
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(x) for x in values], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values).view(np.int64)))
+
+
+def _rarest(classes: DataFrame) -> DataFrame:
+    """(g, k, n): regions of the rarest shingles of small sets, rare by exact counts over all small sets."""
+    each = classes.where(F.col("n") <= SMALL_PARTNER).select("k", "n", F.explode("few").alias("g"))
+    counts = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    rows = each.join(counts, "g").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
+    prefix = F.col("n") - F.ceil(F.col("n") * NEAR[0] / NEAR[1]) + 1
+    return rows.select("k", "n", F.explode(F.slice("o", F.lit(1), prefix.cast("int"))).alias("x")).where("x.df > 1").select(F.xxhash64("x.g").alias("g"), "k", "n")
 
 
 def _close(x: str, y: str):
@@ -181,20 +197,25 @@ def _pairs(members: DataFrame, best: bool) -> DataFrame:
 
     def within(g: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         size, out = len(g["k"]), []
-        for at in range(0, size, 256):
-            i = slice(at, min(size, at + 256))
-            for to in range(at, size, 1024):
-                j = slice(to, min(size, to + 1024))
+        for at in range(0, size, 128):
+            i = slice(at, min(size, at + 128))
+            for to in range(at, size, 512):
+                j = slice(to, min(size, to + 512))
                 n, m = g["n"][i, None], g["n"][None, j]
                 ok = (g["k"][i, None] < g["k"][None, j]) & (g["c"][i, None] != g["c"][None, j])
                 ok &= NEAR[0] * np.maximum(n, m) <= NEAR[1] * np.minimum(n, m)
                 # the triangle inequality around a pivot of both
                 ok &= (g["pivot"][i, None] != g["pivot"][None, j]) | ~(np.abs(g["d"][i, None] - g["d"][None, j]) > 1 - NEAR[0] / NEAR[1] + 1e-9)
+                # what of one set cannot be in the other, by their bits, is more than a link leaves out
+                p, q = g["bits"][i, None, :], g["bits"][None, j, :]
+                need = -(-NEAR[0] * (n + m) // (NEAR[0] + NEAR[1]))
+                ok &= np.bitwise_count(p & ~q).sum(2, dtype=np.int64) <= n - need
+                ok &= np.bitwise_count(q & ~p).sum(2, dtype=np.int64) <= m - need
                 x, y = np.nonzero(ok)
                 if len(x):
-                    a, b = g["sketch"][i][x], g["sketch"][j][y]
+                    a, b = g["parts"][i][x], g["parts"][j][y]
                     shared = ((a == b) & (a != 0)).sum(1)
-                    keep = shared >= np.where(np.minimum(g["n"][i][x], g["n"][j][y]) > SMALL, SHARED, 1)
+                    keep = (shared >= SHARED) | (np.minimum(g["n"][i][x], g["n"][j][y]) <= SMALL)
                     x, y, shared = x[keep], y[keep], shared[keep]
                     if best and len(x):
                         # for each class, its closest in each other component
@@ -214,15 +235,16 @@ def _pairs(members: DataFrame, best: bool) -> DataFrame:
         held: dict[str, np.ndarray] | None = None
         for batch in batches:
             now = {f: batch.column(k).to_numpy(zero_copy_only=False) for k, f in enumerate(fields[:-1])}
-            now["sketch"] = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, PARTS)
-            held = now if held is None else {f: np.concatenate([held[f], now[f]]) for f in fields}
+            sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, PARTS + BITS // 8)
+            now |= {"parts": sketch[:, :PARTS], "bits": np.ascontiguousarray(sketch[:, PARTS:]).view(np.uint64)}
+            held = now if held is None else {f: np.concatenate([held[f], now[f]]) for f in now}
             cuts = np.flatnonzero(held["g"][1:] != held["g"][:-1]) + 1
             found, start = [], 0
             for cut in cuts:
-                found += within({f: held[f][start:cut] for f in fields})
+                found += within({f: v[start:cut] for f, v in held.items()})
                 start = cut
             yield from emit(found)
-            held = {f: held[f][start:] for f in fields}
+            held = {f: v[start:] for f, v in held.items()}
         if held is not None:
             yield from emit(within(held))
 
@@ -260,16 +282,20 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     link nothing; rows of one key are one document whose texts all count. An empty table gives an empty one. Other
     columns are left out.
     """
+    spark = df.sparkSession
+    small_batches(spark)
     members = Stored(describe(df, key, text), "sets").df
     some = members.where("n > 0 and k is not null")
     # equal sets have equal sketches and regions, so any row's will do
-    classes = Stored(some.groupBy("a", "b", "n").agg(F.min("k").alias("k"), F.first("sketch").alias("sketch"), F.first("regions").alias("regions")), "classes").df
-    each = classes.select(F.explode("regions").alias("g"), "k", "n")
+    classes = Stored(some.groupBy("a", "b", "n").agg(F.min("k").alias("k"), F.first("sketch").alias("sketch"), F.first("regions").alias("regions"), F.first("few").alias("few")), "classes").df
+    each = Stored(classes.select(F.explode("regions").alias("g"), "k", "n").unionByName(_rarest(classes).select("g", "k", "n")), "each").df
     shared = each.groupBy("g").agg(F.min(F.struct("k", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").select("g", F.col("p.k").alias("pivot"), F.col("p.n").alias("pn"))
     regions_of = Stored(each.join(shared, "g"), "regions").df
+    release(spark)
     stars = regions_of.where((F.col("k") != F.col("pivot")) & _close("n", "pn")).groupBy("k", "pivot").agg(F.count(F.lit(1)).alias("common"))
     chosen = stars.groupBy("k").agg(F.max(F.struct("common", -F.col("pivot"))).alias("s")).select((-F.col("s.col2")).alias("x"), F.col("k").alias("y"))
-    first = Stored(compare(chosen, df, key, text), "first").df
+    first = Stored(compare(Stored(chosen, "chosen").df, df, key, text), "first").df
+    release(spark)
     links = linked(first)
     near_pivot = first.groupBy(F.col("y").alias("k")).agg(F.max(F.struct("x", F.col("inter") / F.col("both"))).alias("p")).select("k", F.col("p.x").alias("pivot"), (1 - F.col("p.col2")).alias("d"))
     done = first.select("x", "y")
@@ -281,7 +307,10 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             with_label.select("k", "n", F.coalesce("c", "k").alias("c"), F.coalesce("pivot", "k").alias("pivot"), F.coalesce("d", F.lit(0.0)).alias("d"), "sketch", "regions"), "labelled"
         ).df
         more = _candidates(regions_of.select("g", "k"), labelled, best).join(done, ["x", "y"], "left_anti")
-        found = Stored(compare(Stored(more, "pairs").df, df, key, text), "found").df
+        more = Stored(more, "pairs").df
+        release(spark)
+        found = Stored(compare(more, df, key, text), "found").df
+        release(spark)
         links = links.union(linked(found))
         done = done.union(found.select("x", "y"))
     labels = components(links).withColumnRenamed("k", "k_")
