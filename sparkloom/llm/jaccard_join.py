@@ -34,7 +34,7 @@ from .common import Stored, release, small_batches, text_or_empty
 WORDS = 5
 #: A link needs NEAR[0] * union <= NEAR[1] * intersection.
 NEAR = (4, 5)
-PARTS, DEPTH, BITS = 64, 3, 512
+PARTS, DEPTH, BITS = 64, 3, 2048
 #: Equal parts that a pair of larger sets must show: fewer have a probability below 1e-12 at the limit.
 SHARED = 6
 #: Sets of up to SMALL shingles are found by their rarest ones, as are what they link with, up to a quarter larger.
@@ -83,7 +83,7 @@ _EDGES = np.arange(PARTS, dtype=np.uint64) << np.uint64(58)
 
 
 def regions(s: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Keys of the regions of a larger set; and its sketch: a byte for each part (0: empty), and a bit for each of 512
+    """Keys of the regions of a larger set; and its sketch: a byte for each part (0: empty), and a bit for each of 2048
     values of the low bits of its hashes that occurs."""
     start = np.searchsorted(s, _EDGES)
     end = np.append(start[1:], len(s))
@@ -206,12 +206,15 @@ def _pairs(members: DataFrame, best: bool) -> DataFrame:
                 ok &= NEAR[0] * np.maximum(n, m) <= NEAR[1] * np.minimum(n, m)
                 # the triangle inequality around a pivot of both
                 ok &= (g["pivot"][i, None] != g["pivot"][None, j]) | ~(np.abs(g["d"][i, None] - g["d"][None, j]) > 1 - NEAR[0] / NEAR[1] + 1e-9)
-                # what of one set cannot be in the other, by their bits, is more than a link leaves out
-                p, q = g["bits"][i, None, :], g["bits"][None, j, :]
-                need = -(-NEAR[0] * (n + m) // (NEAR[0] + NEAR[1]))
-                ok &= np.bitwise_count(p & ~q).sum(2, dtype=np.int64) <= n - need
-                ok &= np.bitwise_count(q & ~p).sum(2, dtype=np.int64) <= m - need
                 x, y = np.nonzero(ok)
+                # what of one set cannot be in the other, by their bits, is more than a link leaves out
+                keep = np.zeros(len(x), bool)
+                for k in range(0, len(x), 4096):
+                    u, v = x[k : k + 4096], y[k : k + 4096]
+                    p, q, nu, nv = g["bits"][i][u], g["bits"][j][v], g["n"][i][u], g["n"][j][v]
+                    need = -(-NEAR[0] * (nu + nv) // (NEAR[0] + NEAR[1]))
+                    keep[k : k + 4096] = (np.bitwise_count(p & ~q).sum(1, dtype=np.int64) <= nu - need) & (np.bitwise_count(q & ~p).sum(1, dtype=np.int64) <= nv - need)
+                x, y = x[keep], y[keep]
                 if len(x):
                     a, b = g["parts"][i][x], g["parts"][j][y]
                     shared = ((a == b) & (a != 0)).sum(1)
@@ -257,18 +260,20 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def _candidates(regions_of: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
-    """Pairs to compare next; regions_of: (g, k) of all regions of two or more classes; classes: k, n, c, pivot, d, sketch, regions."""
+    """Pairs to compare next; regions_of: (g, k) of all regions of two or more classes; classes: k, n, c, pivot, d, sketch, regions, few."""
     named = regions_of.join(classes.select("k", "c"), "k")
     rows = named.select("g", "k").join(_open(named), "g")
     out = None
     for level in range(DIVIDE + 1):
         part = rows if level == DIVIDE else rows.where(F.col("size") <= LARGE)
-        found = part.select("g", "k").join(classes.drop("regions"), "k")
+        found = part.select("g", "k").join(classes.drop("regions", "few"), "k")
         out = _pairs(found, best) if out is None else out.union(_pairs(found, best))
         large = rows.where(F.col("size") > LARGE)
         if level == DIVIDE or not large.limit(1).count():
             break
-        finer = large.select("g", "k").join(classes.select("k", "c", "regions"), "k").select("k", "c", "g", F.explode("regions").alias("h")).where("g <> h").select("k", "c", F.xxhash64("g", "h").alias("g"))
+        # small sets are found by single shingles, of which any two that link share four at least
+        second = F.concat("regions", F.transform("few", lambda x: F.xxhash64(x)))
+        finer = large.select("g", "k").join(classes.select("k", "c", second.alias("second")), "k").select("k", "c", "g", F.explode("second").alias("h")).where("g <> h").select("k", "c", F.xxhash64("g", "h").alias("g"))
         finer = Stored(finer, "finer").df
         rows = finer.select("g", "k").join(_open(finer), "g")
     return out.distinct()
@@ -304,7 +309,7 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         with_label = classes.join(labels.withColumnRenamed("k", "k_"), F.col("k") == F.col("k_"), "left").join(near_pivot.withColumnRenamed("k", "p_"), F.col("k") == F.col("p_"), "left")
         # without a distance of its own a class is its own pivot, which it shares with those compared with it
         labelled = Stored(
-            with_label.select("k", "n", F.coalesce("c", "k").alias("c"), F.coalesce("pivot", "k").alias("pivot"), F.coalesce("d", F.lit(0.0)).alias("d"), "sketch", "regions"), "labelled"
+            with_label.select("k", "n", F.coalesce("c", "k").alias("c"), F.coalesce("pivot", "k").alias("pivot"), F.coalesce("d", F.lit(0.0)).alias("d"), "sketch", "regions", "few"), "labelled"
         ).df
         more = _candidates(regions_of.select("g", "k"), labelled, best).join(done, ["x", "y"], "left_anti")
         more = Stored(more, "pairs").df
