@@ -23,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 #: Entries of a worker's cache of pre-tokens; beyond it the cache is emptied, which costs time but changes nothing.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 #: Pre-tokens longer than this are encoded each time, so that the cache stays small.
 CACHE_LENGTH = 64
 #: Last characters of a word are moved by this in the automaton's alphabet, as they carry the end-of-word suffix.
@@ -63,7 +63,7 @@ class PrefixBPE:
             self.born.setdefault(whole, r)
         self.bytes = byte_alphabet()
         self.as_last = {ord(c): ord(c) + LAST for c in self.bytes}
-        self.compatible = lru_cache(maxsize=1_000_000)(self._compatible)
+        self.compatible = lru_cache(maxsize=200_000)(self._compatible)
         self.automaton = ahocorasick.Automaton()
         for t, i in vocab.items():
             key, last = (t[: -len(self.suffix)], True) if self.suffix and t.endswith(self.suffix) and t != self.suffix else (t, False)
@@ -176,6 +176,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keys: tuple[str,
     empty table gives an empty one. Texts of any length are encoded whole, in time in proportion to their length.
     path must lead to the tokenizer's file on every executor.
     """
+    small_batches(df.sparkSession)
     source = df.select(*[F.col(f"`{k}`").alias(k) for k in keys], text_or_empty(f"`{text}`").alias("__text"))
     names = list(keys)
 

@@ -3,7 +3,7 @@
 A gram is the shortest run of lines from a line on that has LEAST words. Of all grams within a window, the shortest
 run that has SURE words, the one with the least hash is a fingerprint; so any repeated run of SURE words has one in
 common with its copies, and a run below LEAST words has none. Each fingerprint is joined with its first position in
-the order of (key, line), the match is extended over equal lines both ways up to the next fingerprints, and the lines
+the order of (key, line), the match is extended over equal lines both ways through what the next fingerprints do not cover whole, and the lines
 of all matches but the first are deleted.
 """
 
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 LEAST, SURE = 10, 25
 
@@ -70,8 +70,9 @@ def _occurrences(source: DataFrame, least: int, sure: int) -> DataFrame:
             for k, text in enumerate(batch.column(1).to_pylist()):
                 hashes, found = fingerprints(text, least, sure)
                 for x, (h, i, e) in enumerate(found):
-                    lo = found[x - 1][2] + 1 if x else 0
-                    hi = found[x + 1][1] if x + 1 < len(found) else len(hashes)
+                    # past these the neighbouring grams are whole, and match or not by themselves
+                    lo = found[x - 1][1] + 1 if x else 0
+                    hi = max(e + 1, found[x + 1][2]) if x + 1 < len(found) else len(hashes)
                     row.append(k)
                     fp.append(h)
                     at.append(i)
@@ -117,6 +118,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
     delete its twin; a null key is the first of all. A document all of whose lines are repeats gets an empty text; the
     row stays. An empty table gives an empty one. Other columns pass through.
     """
+    small_batches(df.sparkSession)
     own = df.drop("__n_lines", "__n_removed", "__k", "__t", "__at", "__to", "__x")
     source = own.select(F.col(f"`{key}`").alias("k"), text_or_empty(f"`{text}`").alias("t"))
     found = _occurrences(source, least, sure)

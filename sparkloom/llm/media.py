@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 # Bytes of a unit, coefficients used of a block, the bands, and limits of the format.
 UNIT, USED, BANDS, MAX_ROWS, MAX_RUN = 576, 48, ((1, 24), (25, 48)), 4095, 32767
@@ -379,6 +379,7 @@ def store(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     A null or empty text is stored as one unit of filling. Equal texts give equal files. An empty table gives an
     empty one; other columns are left out.
     """
+    small_batches(df.sparkSession)
     source = df.select(F.col(f"`{key}`").alias(key), text_or_empty(f"`{text}`").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
