@@ -58,7 +58,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     taken or left together. A null key is hashed as such. An empty table gives an empty one. Other columns pass
     through; those named like the four above are replaced.
     """
-    new = ["__size", "__source_size", "__target", "__copies", "__source", "__u", "__h", "__base", "__cut"]
+    new = ["__size", "__source_size", "__target", "__copies", "__source", "__u", "__h", "__k", "__s0", "__t0", "__b0", "__r0", "__cv", "__ch"]
     size, name = words(text_or_empty(f"`{text}`")), F.col(f"`{source}`").cast("string")
     h = F.xxhash64(F.col(f"`{key}`"), text_or_empty(f"`{text}`"), F.lit(seed))
     u = (F.pmod(h, F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -94,11 +94,12 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     )
     cut = cut.select(F.col("__s").alias("__x"), F.coalesce(F.col("cut"), F.struct((F.col("at") / float(SLICES)).alias("v"), F.lit(-(1 << 63)).cast("long").alias("h"))).alias("cut"))
     # with no crossing slice nothing is left to take, or all that has words is
-    cuts = Stored(plan.join(cut, plan["source"].eqNullSafe(cut["__x"]), "left").select(F.col("source").alias("__k"), "source_size", "target", "base", "rest", F.col("cut.v").alias("cut_v"), F.col("cut.h").alias("cut_h")), "mix-cuts").df
+    cuts = Stored(plan.join(cut, plan["source"].eqNullSafe(cut["__x"]), "left").select(F.col("source").alias("__k"), F.col("source_size").alias("__s0"), F.col("target").alias("__t0"), F.col("base").alias("__b0"), F.col("rest").alias("__r0"), F.col("cut.v").alias("__cv"), F.col("cut.h").alias("__ch")), "mix-cuts").df
     joined = own.withColumns({"__size": size, "__source": name, "__u": u, "__h": h}).join(held(cuts), F.col("__source").eqNullSafe(F.col("__k")))
-    v = odds(F.col("__u"), F.col("rest"), F.col("source_size"))
-    more = F.when(F.col("rest") <= 0, 0).when(F.col("cut_v").isNull(), 0).when((v < F.col("cut_v")) | ((v == F.col("cut_v")) & (F.col("__h") <= F.col("cut_h"))), 1).otherwise(0)
-    return joined.select(*[F.col(f"`{c}`") for c in own.columns], "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), (F.col("base") + more).alias("__copies"))
+    v = odds(F.col("__u"), F.col("__r0"), F.col("__s0"))
+    before = (v < F.col("__cv")) | ((v == F.col("__cv")) & (F.col("__h") <= F.col("__ch")))
+    more = F.when((F.col("__r0") > 0) & F.col("__cv").isNotNull() & before, 1).otherwise(0)
+    return joined.select(*[F.col(f"`{c}`") for c in own.columns], "__size", F.col("__s0").alias("__source_size"), F.col("__t0").alias("__target"), (F.col("__b0") + more).alias("__copies"))
 
 
 def report(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
