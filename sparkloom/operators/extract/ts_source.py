@@ -232,7 +232,7 @@ class _File:
                 if texts:
                     self.out.add("import", self.module_id, s.at(texts[0]).strip("\"'`"))
                 i = max(stop, i + 1)
-            elif (k := self.assigned(i, end, owner)) is not None:
+            elif s.at(i - 1) != "." and (k := self.assigned(i, end, owner)) is not None:
                 i = k
             elif s.at(i) in ("{", "("):  # blocks and calls may hold declarations
                 self.walk(i + 1, s.tokens[i].match, owner)

@@ -81,9 +81,11 @@ class Store:
         validate(files, FILES, "files").write.parquet(f"{at}/files")
         before = self._get("CURRENT")
         self._put("CURRENT", version)
-        if before:
-            fs, p = self._fs(f"{self.root}/{before}")
-            fs.delete(p, True)
+        # the version before stays for readers that have it open
+        fs, p = self._fs(self.root)
+        for x in fs.listStatus(p):
+            if x.getPath().getName().startswith("v-") and x.getPath().getName() not in (version, before):
+                fs.delete(x.getPath(), True)
 
     def open(self) -> Graph:
         """The current version, after its gate: there, of this version of the schema, with all its columns."""
