@@ -325,3 +325,18 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         members.select("k", "a", "b", "n").join(component, ["a", "b", "n"], "left")
         .select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("k").isNull(), F.lit(None)).otherwise(F.coalesce("c", "k")).alias("component_id"))
     )
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, there) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.there)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce((SELECT min(there) FROM r WHERE r.doc_id = d.doc_id), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id)
+"""

@@ -66,4 +66,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op8_perspectives": chat.ORACLE_SQL,
+    "op10_jaccard_join": jaccard_join.ORACLE_SQL,
 }
