@@ -88,8 +88,8 @@ class Rows:
         self.n = len(rows)
         sizes = np.array([len(r) for r in rows], np.int64)
         self.flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        self.row = np.repeat(np.arange(self.n), sizes)
-        self.value = np.repeat(1 / np.sqrt(np.maximum(1, sizes)), sizes)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        self.value = np.repeat((1 / np.sqrt(np.maximum(1, sizes))).astype(np.float32), sizes)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.flat] * self.value, self.n)
@@ -174,8 +174,8 @@ class Head:
         return _sigmoid(self.join[0] * a + self.join[1] * b + self.join[2])
 
 
-def cotrain(views: tuple[Rows, Rows], y: np.ndarray, held: np.ndarray, pool: tuple[list[np.ndarray], list[np.ndarray]], raw: tuple[list[np.ndarray], list[np.ndarray]], rounds: int = ROUNDS) -> Head:
-    """held: labelled rows that only calibrate. raw: the labelled rows' features again, from which training sets grow."""
+def cotrain(y: np.ndarray, held: np.ndarray, pool: tuple[list[np.ndarray], list[np.ndarray]], raw: tuple[list[np.ndarray], list[np.ndarray]], rounds: int = ROUNDS) -> Head:
+    """held: labelled rows that only calibrate. raw and pool: features of the labelled rows and of the others, by view."""
     dims = (1 << TEXT_BITS, 1 << META_BITS)
     train = np.flatnonzero(~held)
     sets = [([raw[v][i] for i in train], list(y[train])) for v in (0, 1)]
@@ -241,18 +241,19 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int =
         for batch in batches:
             text, meta = _features(batch)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(5), batch.column(6), pa.array([x.tolist() for x in text], pa.list_(pa.int32())), pa.array([x.tolist() for x in meta], pa.list_(pa.int32()))],
+                [batch.column(0), batch.column(5), batch.column(6), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())],
                 names=["k", "quality", "toxic", "text", "meta"],
             )
 
-    got = source.mapInArrow(run, f"k {source.dtypes[0][1]}, quality double, toxic double, text array<int>, meta array<int>").toPandas()
+    got = source.mapInArrow(run, f"k {source.dtypes[0][1]}, quality double, toxic double, text binary, meta binary").toPandas()
     got = got.sort_values(["k"], kind="stable", ignore_index=True)
     known = got[got.quality.notna()].reset_index(drop=True)
     rest = got[got.quality.isna()]
-    raw = ([*map(np.asarray, known.text)], [*map(np.asarray, known.meta)])
-    free = ([*map(np.asarray, rest.text)], [*map(np.asarray, rest.meta)])
+    # as bytes: lists of numbers would be objects in the driver's memory
+    numbers = lambda c: [np.frombuffer(x, np.int32) for x in c]
+    raw = (numbers(known.text), numbers(known.meta))
+    free = (numbers(rest.text), numbers(rest.meta))
     held = np.arange(len(known)) % 4 == 3
-    views = (Rows(raw[0]), Rows(raw[1]))
     heads = {}
     for name in HEADS:
         y = known[name].to_numpy(float)
@@ -263,7 +264,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int =
             none = Linear(np.zeros(1 << TEXT_BITS)), Linear(np.zeros(1 << META_BITS))
             heads[name] = Head(*none, np.array([0.0, 0.0, np.log(share / (1 - share))]))
         else:
-            heads[name] = cotrain(views, y, held, free, raw)
+            heads[name] = cotrain(y, held, free, raw)
     return heads
 
 

@@ -23,7 +23,7 @@ def test_views_teach_each_other():
     text = [np.array([int(a), 10 + int(rnd.integers(0, 50))]) for a in y]
     meta = [np.array([int(a) if rnd.random() < 0.9 else 1 - int(a)]) for a in y]
     held = np.arange(n) % 4 == 3
-    head = Q.cotrain((Q.Rows(text), Q.Rows(meta)), y, held, (text[:200], meta[:200]), (text, meta))
+    head = Q.cotrain(y, held, (text[:200], meta[:200]), (text, meta))
     p = head.probability(head.text.logit(Q.Rows(text)), head.meta.logit(Q.Rows(meta)))
     assert ((p > 0.5) == (y == 1)).mean() > 0.98
 
