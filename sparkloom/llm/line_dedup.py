@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_or_empty
 
 LEAST, SURE = 10, 25
+ROWS = 256
 
 
 def fingerprints(text: str, least: int = LEAST, sure: int = SURE) -> tuple[list[int], list[tuple[int, int, int]]]:
@@ -95,19 +95,29 @@ def _lists(values: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _without(text: pd.Series, at: pd.Series, to: pd.Series) -> pd.DataFrame:
-    out = []
-    for t, lo, hi in zip(text, at, to, strict=True):
-        n = t.count("\n") + 1
-        if lo is None or not len(lo):
-            out.append((t, n, 0))
-            continue
-        keep = np.ones(n, bool)
-        for a, b in zip(lo, hi, strict=True):
-            keep[a : b + 1] = False
-        lines = t.split("\n")
-        out.append(("\n".join([x for x, y in zip(lines, keep, strict=True) if y]), n, int(n - keep.sum())))
-    return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
+def _rebuilt(joined: DataFrame, at: int) -> DataFrame:
+    """joined's columns with column number `at`, the text, without the lines from __lo to __hi; n_lines, n_removed."""
+    names = joined.columns[:-2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                texts, total, gone = batch.column(at).to_pylist(), [], []
+                for row, (lo, hi) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)):
+                    total.append(texts[row].count("\n") + 1)
+                    gone.append(0)
+                    if lo:
+                        keep = np.ones(total[-1], bool)
+                        for x, y in zip(lo, hi, strict=True):
+                            keep[x : y + 1] = False
+                        texts[row] = "\n".join([x for x, y in zip(texts[row].split("\n"), keep, strict=True) if y])
+                        gone[-1] = int(total[-1] - keep.sum())
+                columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_removed"])
+
+    kinds = dict(joined.dtypes)
+    return joined.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_lines bigint, n_removed bigint")
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, sure: int = SURE) -> DataFrame:
@@ -131,8 +141,10 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
     matched = pairs.select("k", (F.col("at") - same(F.col("before"), F.col("first.before"))).alias("lo"), (F.col("to") + same(F.col("after"), F.col("first.after"))).alias("hi"))
     per_doc = matched.groupBy("k").agg(F.collect_list("lo").alias("__at"), F.collect_list("hi").alias("__to")).withColumnRenamed("k", "__k")
     joined = own.join(per_doc, F.col(f"`{key}`").eqNullSafe(F.col("__k")), "left")
-    made = joined.withColumn("__x", F.pandas_udf(_without, "struct<text:string,n_lines:bigint,n_removed:bigint>")(text_or_empty(f"`{text}`"), "__at", "__to"))
-    return made.select(*[F.col("__x.text").alias(c) if c == text else F.col(f"`{c}`") for c in own.columns], F.col("__x.n_lines").alias("__n_lines"), F.col("__x.n_removed").alias("__n_removed"))
+    at = own.columns.index(text)
+    columns = [(text_or_empty(f"`{c}`") if k == at else F.col(f"`{c}`")).alias(f"__c{k}") for k, c in enumerate(own.columns)]
+    made = _rebuilt(joined.select(*columns, "__at", "__to"), at)
+    return made.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(own.columns)], F.col("n_lines").alias("__n_lines"), F.col("n_removed").alias("__n_removed"))
 
 
 def report(deduped: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
