@@ -156,7 +156,9 @@ def _digits(source: DataFrame) -> DataFrame:
             key, context, row, lo, more = (np.concatenate(c) for c in zip(*parts, strict=True))
             doc = ids[row]
             again, keep = _first_of_batch([key, context], doc)
-            d, a, b = _merged(doc[again], lo[again], (lo + more + DEPTH)[again])
+            # stretches are joined by their windows, not their bytes: a window that bridges two of them may be new
+            d, a, b = _merged(doc[again], lo[again], (lo + more + 1)[again])
+            b += DEPTH - 1
             k = np.concatenate([key[keep], _mix(d.astype(np.uint64) * _C[5])]).view(np.int64)
             f = np.concatenate([context[keep], (b - a).astype(np.int32)])
             pos = np.concatenate([(lo[keep] << 8) | more[keep], (a << 8) | 128])
@@ -236,12 +238,11 @@ def _windows(source: DataFrame) -> DataFrame:
                 np.add.at(mark, lo[fine == 1], 1)
                 np.add.at(mark, hi[fine == 1] + 1, -1)
                 wanted = np.cumsum(mark)[: max(0, len(data) - DEPTH + 1)] > 0
-                # a window inside a stretch that goes in any case needs no look
-                _, a, b = _merged(np.zeros(int((fine == 0).sum()), np.int64), lo[fine == 0], hi[fine == 0])
+                # a window inside one stretch that goes also starts in a lesser document; one that bridges two may be
+                # the first of its kind, to which later documents are compared
                 gone = np.zeros(len(data) + 2, np.int32)
-                long = b - a >= DEPTH
-                np.add.at(gone, a[long], 1)
-                np.add.at(gone, b[long] - DEPTH + 1, -1)
+                np.add.at(gone, lo[fine == 0], 1)
+                np.add.at(gone, hi[fine == 0] - DEPTH + 1, -1)
                 w = np.flatnonzero(wanted & (np.cumsum(gone)[: len(wanted)] == 0))
                 if len(w):
                     eight, _ = _words(data)

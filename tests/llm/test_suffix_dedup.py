@@ -36,6 +36,16 @@ def test_equals_brute_force_on_spliced_texts(spark):
     check(spark, rows)
 
 
+def test_windows_that_bridge_two_repeats_are_sources(spark):
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for k in range(0, 400, 4):
+        p, x, q, side = word(120), word(rnd.randint(30, 40)), word(120), rnd.randint(8, 12)
+        rows += [(k, word(60) + p + x), (k + 1, x + q + word(60)), (k + 2, p + x + q), (k + 3, word(60) + p[-side:] + x + q[:side] + word(60))]
+    check(spark, rows)
+
+
 def test_long_texts_go_in_pieces(spark, monkeypatch):
     rnd = random.Random(4)
     long = "".join(rnd.choice("abcdefgh ") for _ in range(20_000))
