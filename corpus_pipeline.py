@@ -26,7 +26,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines go, and documents of which nothing is left with them."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, whole=True)
     stays = (F.col("__n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(stays).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

@@ -5,6 +5,10 @@ run that has SURE words, the one with the least hash is a fingerprint; so any re
 common with its copies, and a run below LEAST words has none. Each fingerprint is joined with its first position in
 the order of (key, line), the match is extended over equal lines both ways through what the next fingerprints do not cover whole, and the lines
 of all matches but the first are deleted.
+
+The first position is one partner of many, and a longer run may have occurred elsewhere. So with whole, the shortest
+runs of SURE words from each line on and up to each line are compared too, each with the first place of that very run:
+of an earlier run of SURE words or more every line is in one of them, so nothing of it stays.
 """
 
 from __future__ import annotations
@@ -63,7 +67,33 @@ def fingerprints(text: str, least: int = LEAST, sure: int = SURE) -> tuple[list[
     return hashes, [(grams[i][0], i, grams[i][1]) for i in sorted(chosen)]
 
 
-def _occurrences(source: DataFrame, least: int, sure: int) -> DataFrame:
+def sure_runs(hashes: list[int], text: str, sure: int = SURE) -> list[tuple[int, int, int]]:
+    """(hash, first line, last line) of the shortest runs of SURE words from each line on, and up to each line."""
+    upto = [0]
+    for x in text.split("\n"):
+        upto.append(upto[-1] + len(x.split()))
+    n = len(hashes)
+    if upto[-1] < sure:
+        return []
+    found: set[tuple[int, int]] = set()
+    end = start = 0
+    for i in range(n):
+        while end < n and upto[end + 1] - upto[i] < sure:
+            end += 1
+        if end == n:
+            break
+        found.add((i, end))
+    for j in range(n):
+        if upto[j + 1] >= sure:
+            while upto[j + 1] - upto[start + 1] >= sure:
+                start += 1
+            found.add((start, j))
+    flat = np.array(hashes, np.uint64)
+    # the seed keeps them apart from grams of the same lines
+    return [(xxhash.xxh3_64_intdigest(flat[i : j + 1].tobytes(), seed=1), i, j) for i, j in sorted(found)]
+
+
+def _occurrences(source: DataFrame, least: int, sure: int, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, fp, at, to, before, after = [], [], [], [], [], []
@@ -79,6 +109,13 @@ def _occurrences(source: DataFrame, least: int, sure: int) -> DataFrame:
                     to.append(e)
                     before.append(hashes[lo:i][::-1])
                     after.append(hashes[e + 1 : hi])
+                for h, i, e in sure_runs(hashes, text, sure) if whole else ():
+                    row.append(k)
+                    fp.append(h)
+                    at.append(i)
+                    to.append(e)
+                    before.append([])
+                    after.append([])
             lists = [_lists(before), _lists(after)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(fp, np.uint64).view(np.int64)), batch.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(to, pa.int32()), *lists],
@@ -120,9 +157,12 @@ def _rebuilt(joined: DataFrame, at: int) -> DataFrame:
     return joined.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_lines bigint, n_removed bigint")
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, sure: int = SURE) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, sure: int = SURE, whole: bool = False) -> DataFrame:
     """df with text without its repeated lines, and __n_lines and __n_removed.
 
+    whole: every run of SURE words that occurs earlier goes, wherever that is; else what the first places of
+    fingerprints show.
+
     Lines are compared without the white space at their ends. A null or empty text is one empty line and stays (null
     becomes empty). Rows of one key count as one document and are treated alike, so a row repeated in full does not
     delete its twin; a null key is the first of all. A document all of whose lines are repeats gets an empty text; the
@@ -131,7 +171,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
     small_batches(df.sparkSession)
     own = df.drop("__n_lines", "__n_removed", "__k", "__t", "__at", "__to", "__x")
     source = own.select(F.col(f"`{key}`").alias("k"), text_or_empty(f"`{text}`").alias("t"))
-    found = _occurrences(source, least, sure)
+    found = _occurrences(source, least, sure, whole)
     # a first position for each fingerprint: combined on the map side, so a frequent line is a row a task
     first = found.groupBy("fp").agg(F.min(F.struct("k", "at", "to", "before", "after")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("fp").alias("fp_"), "first")
     pairs = found.join(first, found["fp"] == first["fp_"]).where(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("at") == F.col("first.at"))))

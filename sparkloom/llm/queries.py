@@ -16,7 +16,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return line_dedup.report(line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,40 @@ def test_runs_of_the_sure_length_are_always_found(spark):
     assert all(r["__n_removed"] == 0 for r in L.dedup_lines(spark.createDataFrame(short, "doc_id bigint, text string")).collect())
 
 
+def in_earlier_runs(docs, sure=L.SURE):
+    """The numbers of the lines that lie in any run of SURE words that starts earlier in the order of (key, line)."""
+    seen, out = set(), {}
+    for key, text in sorted(docs):
+        own, gone = [x.strip() for x in text.split("\n")], set()
+        for i in range(len(own)):
+            for j in range(i, len(own)):
+                run = tuple(own[i : j + 1])
+                if sum(len(x.split()) for x in run) >= sure:
+                    if run in seen:
+                        gone.update(range(i, j + 1))
+                    seen.add(run)
+        out[key] = gone
+    return out
+
+
+def test_all_earlier_runs_go(spark):
+    rnd = random.Random(9)
+    line = lambda n: " ".join(f"{rnd.random():.9f}" for _ in range(n))
+    docs = []
+    for k in range(0, 150, 3):
+        h, s, t = line(12), line(8), line(8)
+        docs += [(k, h), (k + 1, "\n".join([line(7), h, s, t, line(6)])), (k + 2, "\n".join([line(9), h, s, t, line(5)]))]
+    pool = [line(rnd.randint(1, 14)) for _ in range(30)]
+    docs += [(k, "\n".join(rnd.sample(pool, rnd.randint(1, 20)))) for k in range(1000, 1200)]
+    # no line is twice in a document, so a line is what stays of it
+    first, runs = brute(docs), in_earlier_runs(docs)
+    want = {k: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in runs[k] and x in first[k].split("\n")) for k, t in docs}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    assert {r["doc_id"]: r["text"] for r in L.dedup_lines(df, whole=True).collect()} == want
+    assert sum(want[k] != first[k] for k in range(2, 150, 3)) > 5 and sum(want[k] != first[k] for k in range(1000, 1200)) > 0
+    assert {r["doc_id"]: r["text"] for r in L.dedup_lines(df).collect()} == first
+
+
 def test_edge_cases(spark, edge):
     got = L.dedup_lines(edge)
     assert got.columns == [*edge.columns, "__n_lines", "__n_removed"]
