@@ -91,6 +91,14 @@ def test_map(service, tmp_path):
     assert "</script><b>" not in export.page({"nodes": [{"x": "</script><b>"}], "links": []})
 
 
+def test_map_data_have_no_limit_but_the_layout_has(service, monkeypatch):
+    monkeypatch.setattr(export, "MOST_NODES", 1)
+    data = export.graph_data(service.graph)
+    assert len(data["nodes"]) == service.graph.nodes.count() > 1
+    with pytest.raises(ValueError):
+        export.layout(data)
+
+
 def test_update_states(spark, project):
     root, db, _ = project
     assert ix.update(spark, str(root), db).status == "up-to-date"
