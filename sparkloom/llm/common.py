@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,13 @@ class Stored:
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    @classmethod
+    def of(cls, other: Stored, df: DataFrame) -> Stored:
+        """The same files, seen as df."""
+        made = cls.__new__(cls)
+        made.spark, made.path, made.df = other.spark, other.path, df
+        return made
+
     def drop(self) -> None:
         sc = self.spark.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -60,6 +70,13 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def trim() -> None:
+    """What a Python worker has freed goes back to the system, so that a worker that is used again starts small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -1,21 +1,23 @@
-"""N-gram Jaccard join: a metric-space join over regions, with pivots, triangle windows and recursion.
-
-Between nearly all pairs of documents the Jaccard distance is 1, so documents drawn as pivots would put nearly every
-document at equal distance from all of them, and their Voronoi regions would not divide the corpus. The regions of the
-first level are therefore those of small pivot sets. A document of more than 64 shingles belongs to the region of the least
-three, by hash, of each of 64 parts of the hash space: two of them at distance 0.2 or less share fewer than SHARED
-regions with a probability below 1e-12. One of up to 80 belongs to the regions of its rarest single shingles, a fifth
-of all and one more, in one order by exact counts: two documents at distance 0.2 or less always share one of those.
-Within each region
-
-1. documents of equal sets are one class, and the class of the least id is the region's pivot: each class is compared
-   with the pivot that it shares most regions with, exactly, on the whole texts;
-2. components of the links found so far are joined; a region whose classes are all in one component is done, as no
-   further link can change its result;
-3. in the others, pairs of classes of different components are compared unless the triangle inequality rules them
-   out: with distances a and b to the same pivot, a link needs |a - b| <= 0.2; the closest partners first, then,
-   with the components of those, all the rest. Regions above LARGE classes are first divided by a second region
-   that both documents must share, and again.
+"""N-gram Jaccard join: an exact metric-space join with pivots, Voronoi regions, triangle windows and recursion.
+
+Nearly all pairs of documents are at Jaccard distance 1, where pivots tell nothing apart. So the space is first cut
+where distances are below 1, by exact counts over the whole corpus:
+
+1. Every shingle is counted. In one order of all shingles, rarest first, two documents at distance 0.2 or less share
+   one of their first n - ceil(0.8 n) + 1 (n: the size of the set). A shingle that one document alone holds links
+   nothing, so a document is a suspect only if repeated shingles reach into these first ones. Counts travel as packed
+   arrays of 40-bit remainders by bucket, and what comes back to a document are its repeated shingles; as only these
+   can be in an intersection, they and n give the exact similarity.
+2. Suspects that share one of their first repeated shingles make a block (a connected component); links are within
+   blocks only. Equal sets are one class, of which one row stands for all.
+3. Within a block, members are drawn as pivots; each document belongs to the Voronoi region of its nearest pivot if
+   that is within RADIUS, and to the rest otherwise. By the triangle inequality a document can link into the region
+   of pivot p only if its distance to p is at most its own least distance + 0.4 and at most RADIUS + 0.2, and into the
+   rest only if its least distance is above RADIUS - 0.2: those boundary documents are replicated. Regions are joined
+   recursively the same way, and small ones by search over an index of their shingles.
+4. Blocks above LARGE members are divided before any task holds them whole: by pivots, then by the first shingles that
+   members share, by pivots twice more, and at last into chunks by size, of which those pairs meet whose sizes allow a
+   link. A task holds at most 2 * LARGE members (chunks) of a block.
 """
 
 from __future__ import annotations
@@ -26,21 +28,26 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, release, small_batches, text_or_empty
+from .common import Stored, release, small_batches, text_or_empty, trim
 
 WORDS = 5
-#: A link needs NEAR[0] * union <= NEAR[1] * intersection.
+#: A link needs NEAR[0] * union <= NEAR[1] * intersection; at most this distance.
 NEAR = (4, 5)
-PARTS, DEPTH, BITS = 64, 3, 2048
-#: Equal parts that a pair of larger sets must show: fewer have a probability below 1e-12 at the limit.
-SHARED = 6
-#: Sets of up to SMALL shingles are found by their rarest ones, as are what they link with, up to a quarter larger.
-SMALL, SMALL_PARTNER = 64, 80
-LARGE, DIVIDE = 4096, 2
-CACHE_ENTRIES = 100_000
+REACH = 1 - NEAR[0] / NEAR[1]
+#: Documents farther than this from all pivots are the rest.
+RADIUS = 0.6
+PIVOTS = 24
+#: Members that are joined by search at once, and members that one task takes of a block.
+LEAF, LARGE = 48, 8192
+#: Of a shingle's 64 bits: so many travel, besides the number of its bucket.
+LOW = np.uint64(40)
+#: Bytes of text to a bucket of shingles, and the least and greatest number of buckets.
+BUCKET_BYTES, BUCKETS = 8 << 20, (64, 1 << 18)
+CACHE_ENTRIES = 50_000
 ROWS = 512
 
 
@@ -61,7 +68,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(max(WORDS, DEPTH))]
+_POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(WORDS)]
 
 
 def shingles(text: str) -> np.ndarray:
@@ -79,204 +86,406 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-_EDGES = np.arange(PARTS, dtype=np.uint64) << np.uint64(58)
-
-
-def regions(s: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Keys of the regions of a larger set; and its sketch: a byte for each part (0: empty), and a bit for each of 2048
-    values of the low bits of its hashes that occurs."""
-    start = np.searchsorted(s, _EDGES)
-    end = np.append(start[1:], len(s))
-    key = np.zeros(PARTS, np.uint64)
-    for k in range(DEPTH):
-        there = start + k < end
-        key[there] += s[start[there] + k] * _POWERS[k]
-    key = _mix(key + np.arange(1, PARTS + 1, dtype=np.uint64))
-    full = end > start
-    parts = np.where(full, key % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
-    bits = np.zeros(BITS, np.uint8)
-    bits[s & np.uint64(BITS - 1)] = 1
-    return key[full] if len(s) > SMALL else key[:0], parts.tobytes() + np.packbits(bits).tobytes()
-
-
-def describe(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k, n, a, b (128 bits that stand for the set), sketch, regions, and the shingles of small sets, of every document."""
-    source = df.select(F.col(f"`{key}`").cast("long").alias("k"), text_or_empty(f"`{text}`").alias("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                n, a, sketches, keys, few = [], [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    s = shingles(text)
-                    r, sketch = regions(s)
-                    n.append(len(s))
-                    a.append(blake2b(s.tobytes(), digest_size=16).digest())
-                    sketches.append(sketch)
-                    keys.append(r)
-                    few.append(s if len(s) <= SMALL_PARTNER else s[:0])
-                ab = np.frombuffer(b"".join(a), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(sketches, pa.binary()), _lists(keys), _lists(few)],
-                    names=["k", "n", "a", "b", "sketch", "regions", "few"],
-                )
-
-    return source.mapInArrow(run, "k bigint, n bigint, a bigint, b bigint, sketch binary, regions array<bigint>, few array<bigint>")
-
-
 def _lists(values: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(values) + 1, np.int32)
     np.cumsum([len(x) for x in values], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values).view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
 
 
-def _rarest(classes: DataFrame) -> DataFrame:
-    """(g, k, n): regions of the rarest shingles of small sets, rare by exact counts over all small sets."""
-    each = classes.where(F.col("n") <= SMALL_PARTNER).select("k", "n", F.explode("few").alias("g"))
-    counts = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    rows = each.join(counts, "g").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
-    prefix = F.col("n") - F.ceil(F.col("n") * NEAR[0] / NEAR[1]) + 1
-    return rows.select("k", "n", F.explode(F.slice("o", F.lit(1), prefix.cast("int"))).alias("x")).where("x.df > 1").select(F.xxhash64("x.g").alias("g"), "k", "n")
+def _packed(rows: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary value for each stretch of rows of bytes."""
+    offsets = (np.r_[0, ends] * rows.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _close(x: str, y: str):
-    """Whether the sizes allow a link."""
-    return (NEAR[0] * F.greatest(x, y)) <= (NEAR[1] * F.least(x, y))
+def _bytes(x: np.ndarray, n: int) -> np.ndarray:
+    return np.ascontiguousarray(x.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :n]
 
 
-def compare(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
-    """x, y, inter, both (sizes of intersection and union) of pairs (x, y) of keys, from the whole texts."""
-    texts = df.select(F.col(f"`{key}`").cast("long").alias("k"), text_or_empty(f"`{text}`").alias("t"))
-    one = pairs.join(texts.withColumnsRenamed({"k": "y", "t": "ty"}), "y")
-    two = one.join(texts.withColumnsRenamed({"k": "x", "t": "tx"}), "x").select("x", "y", "tx", "ty")
+def _number(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out.view(np.uint64).ravel()
+
+
+def _emitted(source: DataFrame, buckets: int) -> DataFrame:
+    """bucket, batch, data: for each batch of documents its shingles by bucket (5 bytes each, and 2 that number the
+    document); and one row a document (bucket < 0) with idx, k, n, a, b (128 bits that stand for the set)."""
+    flush_at = min(max(1 << 18, buckets << 10), 1 << 22)
+    kind = source.schema["k"].dataType.simpleString()
+    schema = f"bucket int, batch bigint, data binary, idx int, k {kind}, n bigint, a bigint, b bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+        part, made = TaskContext.get().partitionId(), 0
+        held: list[np.ndarray] = []
+        keys: list[pa.Array] = []
+        linkable: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal made
+            batch, rows = part << 20 | made, len(held)
+            made += 1
+            size = np.array([len(x) for x in held])
+            ab = np.frombuffer(b"".join(blake2b(x.tobytes(), digest_size=16).digest() for x in held), np.int64).reshape(-1, 2)
+            k = pa.concat_arrays(keys)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(rows, -1 - batch % buckets, np.int32)), pa.array(np.full(rows, batch)), pa.nulls(rows, pa.binary()), pa.array(np.arange(rows, dtype=np.int32)), k, pa.array(size), pa.array(ab[:, 0]), pa.array(ab[:, 1])],
+                names=["bucket", "batch", "data", "idx", "k", "n", "a", "b"],
+            )
+            ok = np.repeat(np.concatenate(linkable), size)
+            h, idx = np.concatenate(held)[ok], np.repeat(np.arange(rows), size)[ok]
+            bucket = (h >> LOW).astype(np.uint64) & np.uint64(buckets - 1)
+            order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+            count = np.bincount(bucket.astype(np.int64), minlength=buckets)
+            there = np.flatnonzero(count)
+            data = _packed(np.hstack([_bytes(h[order], 5), _bytes(idx[order], 2)]), np.cumsum(count[there]))
+            many = len(there)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(there.astype(np.int32)), pa.array(np.full(many, batch)), data, pa.nulls(many, pa.int32()), pa.nulls(many, k.type), *[pa.nulls(many, pa.int64())] * 3],
+                names=["bucket", "batch", "data", "idx", "k", "n", "a", "b"],
+            )
+            for x in (held, keys, linkable):
+                x.clear()
+
+        size = 0
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                inter, both = [], []
-                for tx, ty in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    if tx != last:
-                        last, own = tx, shingles(tx)
-                    other = shingles(ty)
-                    same = len(np.intersect1d(own, other, assume_unique=True))
-                    inter.append(same)
-                    both.append(len(own) + len(other) - same)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(both, pa.int64())], names=["x", "y", "inter", "both"])
+                sets = [shingles(x) for x in batch.column(1).to_pylist()]
+                held += sets
+                keys.append(batch.column(0))
+                linkable.append(batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+                size += sum(map(len, sets))
+                if size >= flush_at or len(held) + ROWS > 1 << 16:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+        trim()
+
+    return source.mapInArrow(run, schema)
+
+
+def _counted(emitted: DataFrame) -> DataFrame:
+    """The same rows, with only the shingles that two documents hold, and 2 bytes of their number of documents."""
+    names = emitted.columns
+    schema = emitted.schema
+
+    def repeated(rows: list[tuple[int, bytes]], bucket: int) -> Iterator[pa.RecordBatch]:
+        size = np.array([len(d) // 7 for _, d in rows])
+        raw = np.frombuffer(b"".join(d for _, d in rows), np.uint8).reshape(-1, 7)
+        h, source = _number(raw[:, :5]), np.repeat(np.arange(len(rows)), size)
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        df = np.diff(np.r_[start, len(s)])
+        df = np.repeat(df, df)
+        order, df = order[df > 1], df[df > 1]
+        if not len(order):
+            return
+        back = np.argsort(order, kind="stable")
+        order, df = order[back], np.minimum(df[back], 65_535)
+        data = np.hstack([raw[order], _bytes(df, 2)])
+        count = np.bincount(source[order], minlength=len(rows))
+        there = np.flatnonzero(count)
+        many = len(there)
+        batch = np.array([b for b, _ in rows])[there]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(many, bucket, np.int32)), pa.array(batch), _packed(data, np.cumsum(count[there])), *[pa.nulls(many, kinds[c]) for c in names[3:]]], names=names
+        )
+
+    kinds: dict[str, pa.DataType] = {}
 
-    return two.mapInArrow(run, "x bigint, y bigint, inter bigint, both bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        now = None
+        for batch in batches:
+            kinds.update({f.name: f.type for f in batch.schema})
+            bucket = batch.column(0).to_numpy()
+            own = bucket < 0
+            if own.any():
+                yield batch.filter(pa.array(own))
+            rest = batch.filter(pa.array(~own))
+            for b, i, data in zip(bucket[~own].tolist(), rest.column(1).to_pylist(), rest.column(2).to_pylist(), strict=True):
+                if b != now and held:
+                    yield from repeated(held, now)
+                    held = []
+                now = b
+                held.append((i, data))
+        if held:
+            yield from repeated(held, now)
+        trim()
+
+    return emitted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def _described(counted: DataFrame) -> DataFrame:
+    """rid (a number of the row), k, n, a, b, and of suspects first (the repeated ones of the first shingles) and
+    shared (all that are repeated)."""
+    kind = counted.schema["k"].dataType.simpleString()
+
+    def finish(batch: int, docs: list[pa.RecordBatch], parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(docs).combine_chunks().sort_by("idx").to_batches()[0]
+        n = table.column(5).to_numpy()
+        empty = [np.zeros(0, np.int64)] * len(n)
+        first, shared = list(empty), list(empty)
+        if parts:
+            raw = np.frombuffer(b"".join(d for _, d in parts), np.uint8).reshape(-1, 9)
+            bucket = np.repeat(np.array([b for b, _ in parts], np.uint64), [len(d) // 9 for _, d in parts])
+            g, idx, df = (_number(raw[:, :5]) | bucket << LOW).astype(np.int64), _number(raw[:, 5:7]).astype(np.int64), _number(raw[:, 7:]).astype(np.int64)
+            order = np.lexsort([g, df, idx])
+            g, count = g[order], np.bincount(idx, minlength=len(n))
+            end = np.cumsum(count)
+            reach = n - (NEAR[0] * n + NEAR[1] - 1) // NEAR[1] + 1 - (n - count)
+            for i in np.flatnonzero((reach > 0) & (count > 0)):
+                own = g[end[i] - count[i] : end[i]]
+                first[i] = own[: reach[i]]
+                shared[i] = np.sort(own)
+        rid = pa.array((batch << 16) + table.column(3).to_numpy().astype(np.int64))
+        return pa.RecordBatch.from_arrays([rid, *[table.column(c) for c in range(4, 8)], _lists(first), _lists(shared)], names=["rid", "k", "n", "a", "b", "first", "shared"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: list[pa.RecordBatch] = []
+        parts: list[tuple[int, bytes]] = []
+        now = None
+        for block in batches:
+            ids = block.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi == lo:
+                    continue
+                if now is not None and ids[lo] != now:
+                    yield finish(now, docs, parts)
+                    docs, parts = [], []
+                now = int(ids[lo])
+                some = block.slice(lo, hi - lo)
+                own = some.column(0).to_numpy() < 0
+                if own.any():
+                    docs.append(some.filter(pa.array(own)))
+                rest = some.filter(pa.array(~own))
+                parts += zip(rest.column(0).to_pylist(), rest.column(2).to_pylist(), strict=True)
+        if now is not None:
+            yield finish(now, docs, parts)
+        trim()
+
+    return counted.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, f"rid bigint, k {kind}, n bigint, a bigint, b bigint, first array<bigint>, shared array<bigint>")
 
-def linked(found: DataFrame) -> DataFrame:
-    return found.where(NEAR[1] * F.col("inter") >= NEAR[0] * F.col("both")).select("x", "y")
+
+def describe(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """rid, k, n, a, b, first and shared of every row of df: see _described."""
+    source = df.select(F.col(f"`{key}`").alias("k"), text_or_empty(f"`{text}`").alias("t"))
+    total = source.agg(F.sum(F.length("t"))).first()[0] or 0
+    buckets = BUCKETS[0]
+    while buckets < BUCKETS[1] and buckets * BUCKET_BYTES < total:
+        buckets *= 2
+    return _described(_counted(_emitted(source, buckets)))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """k, c: the least key that each linked key reaches. Labels fall along links, then to the label's own label."""
-    edges = Stored(links.select("x", "y").union(links.select("y", "x")).distinct(), "links").df
-    labels = Stored(edges.groupBy(F.col("x").alias("k")).agg(F.min(F.least("x", "y")).alias("c")), "labels")
+    """k, c: the least number that each linked one reaches. Labels fall along links, then to the label's own label."""
+    edges = Stored(links.select("x", "y").union(links.select("y", "x")).distinct(), "links")
+    labels = Stored(edges.df.groupBy(F.col("x").alias("k")).agg(F.min(F.least("x", "y")).alias("c")), "labels")
     while True:
-        near = edges.join(labels.df, edges["y"] == labels.df["k"]).groupBy("x").agg(F.min("c").alias("m"))
+        near = edges.df.join(labels.df, edges.df["y"] == labels.df["k"]).groupBy("x").agg(F.min("c").alias("m"))
         step = labels.df.join(near, labels.df["k"] == near["x"]).select("k", "c", F.least("c", "m").alias("m"))
         jump = labels.df.select(F.col("k").alias("j"), F.col("c").alias("cc"))
-        after = Stored(step.join(jump, step["m"] == jump["j"]).select("k", "c", F.least("m", "cc").alias("new")), "labels")
-        moved = after.df.where("new <> c").limit(1).count()
+        after = Stored(step.join(jump, step["m"] == jump["j"]).select("k", F.col("c").alias("was"), F.least("m", "cc").alias("c")), "labels")
+        moved = after.df.where("c <> was").limit(1).count()
         labels.drop()
-        labels = Stored(after.df.select("k", F.col("new").alias("c")), "labels")
-        after.drop()
+        labels = Stored.of(after, after.df.select("k", "c"))
         if not moved:
+            edges.drop()
             return labels.df
 
 
-def _pairs(members: DataFrame, best: bool) -> DataFrame:
-    """Pairs of classes of different components within regions g that can link; best: a class's closest ones only."""
-    fields = ["g", "k", "n", "c", "pivot", "d", "sketch"]
-    dealt = members.select(*fields).repartition("g").sortWithinPartitions("g", "k")
-
-    def within(g: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        size, out = len(g["k"]), []
-        for at in range(0, size, 128):
-            i = slice(at, min(size, at + 128))
-            for to in range(at, size, 512):
-                j = slice(to, min(size, to + 512))
-                n, m = g["n"][i, None], g["n"][None, j]
-                ok = (g["k"][i, None] < g["k"][None, j]) & (g["c"][i, None] != g["c"][None, j])
-                ok &= NEAR[0] * np.maximum(n, m) <= NEAR[1] * np.minimum(n, m)
-                # the triangle inequality around a pivot of both
-                ok &= (g["pivot"][i, None] != g["pivot"][None, j]) | ~(np.abs(g["d"][i, None] - g["d"][None, j]) > 1 - NEAR[0] / NEAR[1] + 1e-9)
-                x, y = np.nonzero(ok)
-                # what of one set cannot be in the other, by their bits, is more than a link leaves out
-                keep = np.zeros(len(x), bool)
-                for k in range(0, len(x), 4096):
-                    u, v = x[k : k + 4096], y[k : k + 4096]
-                    p, q, nu, nv = g["bits"][i][u], g["bits"][j][v], g["n"][i][u], g["n"][j][v]
-                    need = -(-NEAR[0] * (nu + nv) // (NEAR[0] + NEAR[1]))
-                    keep[k : k + 4096] = (np.bitwise_count(p & ~q).sum(1, dtype=np.int64) <= nu - need) & (np.bitwise_count(q & ~p).sum(1, dtype=np.int64) <= nv - need)
-                x, y = x[keep], y[keep]
-                if len(x):
-                    a, b = g["parts"][i][x], g["parts"][j][y]
-                    shared = ((a == b) & (a != 0)).sum(1)
-                    keep = (shared >= SHARED) | (np.minimum(g["n"][i][x], g["n"][j][y]) <= SMALL)
-                    x, y, shared = x[keep], y[keep], shared[keep]
-                    if best and len(x):
-                        # for each class, its closest in each other component
-                        order = np.lexsort((-shared, g["c"][j][y], x))
-                        x, y = x[order], y[order]
-                        first = np.r_[True, (x[1:] != x[:-1]) | (g["c"][j][y][1:] != g["c"][j][y][:-1])]
-                        x, y = x[first], y[first]
-                    out.append((g["k"][i][x], g["k"][j][y]))
-        return out
+def distances(sets: list[np.ndarray], n: np.ndarray, pivots: list[np.ndarray], pn: np.ndarray) -> np.ndarray:
+    """Jaccard distances of all sets (their repeated shingles and whole sizes) to all pivots."""
+    held, owner = np.concatenate(pivots), np.repeat(np.arange(len(pivots)), [len(p) for p in pivots])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    lo, hi = np.searchsorted(held, flat, "left"), np.searchsorted(held, flat, "right")
+    m = hi - lo
+    at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo, m)
+    same = np.bincount(np.repeat(of, m) * len(pivots) + owner[at], minlength=len(sets) * len(pivots)).reshape(len(sets), len(pivots))
+    return 1 - same / np.maximum(1, n[:, None] + pn[None, :] - same)
+
+
+def cells(d: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the documents in each pivot's region, with those that the triangle inequality lets link into it, and
+    of those in or near the rest, the last; d: distances to the pivots."""
+    eps, least, nearest = 1e-9, d.min(1), d.argmin(1)
+    core = least <= RADIUS
+    into = core[:, None] & (d <= least[:, None] + 2 * REACH + eps) & (d <= RADIUS + REACH + eps)
+    into[np.flatnonzero(core), nearest[core]] = True
+    return [np.flatnonzero(into[:, j]) for j in range(d.shape[1])] + [np.flatnonzero(least > RADIUS - REACH - eps)]
+
+
+class Join:
+    """Exact links among the members of one block: roots[i] is the least member that i reaches."""
+
+    def __init__(self, n: np.ndarray, sets: list[np.ndarray]):
+        self.n, self.sets, self.roots = n, sets, np.arange(len(n))
+        self.within(np.arange(len(n)))
+
+    def root(self, i: int) -> int:
+        while self.roots[i] != i:
+            self.roots[i] = self.roots[self.roots[i]]
+            i = int(self.roots[i])
+        return i
+
+    def link(self, i: int, j: int) -> None:
+        a, b = sorted((self.root(i), self.root(j)))
+        self.roots[b] = a
+
+    def within(self, who: np.ndarray) -> None:
+        """Region by region; a region that its pivots cannot divide, or a small one, by search."""
+        todo = [who]
+        while todo:
+            who = todo.pop()
+            if len(who) < 2:
+                continue
+            if len(who) <= LEAF:
+                self.search(who)
+                continue
+            pivots = who[:: max(1, len(who) // PIVOTS)][:PIVOTS]
+            parts = cells(distances([self.sets[i] for i in who], self.n[who], [self.sets[i] for i in pivots], self.n[pivots]))
+            for part in parts:
+                if len(part) <= 0.9 * len(who):
+                    todo.append(who[part])
+                else:
+                    self.search(who[part])
+
+    def search(self, who: np.ndarray) -> None:
+        """Components by breadth first; each document is looked up in an index of the shingles of those not yet reached."""
+        open_ = np.ones(len(who), bool)
+        n, live, index = self.n[who], 0, None
+        queue: list[int] = []
+        while queue or open_.any():
+            if not queue:
+                queue = [int(np.flatnonzero(open_)[0])]
+                open_[queue[0]] = False
+            left = int(open_.sum())
+            if not left:
+                return
+            if index is None or left <= live // 2:
+                there, live = np.flatnonzero(open_), left
+                flat = np.concatenate([self.sets[who[i]] for i in there])
+                owner = np.repeat(there, [len(self.sets[who[i]]) for i in there])
+                order = np.argsort(flat, kind="stable")
+                index = (flat[order], owner[order])
+            x = queue.pop()
+            s = self.sets[who[x]]
+            lo, hi = np.searchsorted(index[0], s, "left"), np.searchsorted(index[0], s, "right")
+            m = hi - lo
+            at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo, m)
+            same = np.bincount(index[1][at], minlength=len(who))
+            near = np.flatnonzero(open_ & (same > 0) & (NEAR[1] * same >= NEAR[0] * (n[x] + n - same)))
+            open_[near] = False
+            for j in near.tolist():
+                self.link(int(who[x]), int(who[j]))
+            queue += near.tolist()
+
+
+def _joined(members: DataFrame) -> DataFrame:
+    """x, y: a link path from each linked member of a block (block, rid, n, shared) to the least one it reaches there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(groups: list) -> Iterator[pa.RecordBatch]:
-            if groups:
-                x, y = (np.concatenate(c) for c in zip(*groups, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+        rid: list[int] = []
+        n: list[int] = []
+        sets: list[np.ndarray] = []
+        now = None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if len(rid) > 1:
+                ids = np.array(rid)
+                order = np.argsort(ids)
+                ids = ids[order]
+                join = Join(np.array(n)[order], [sets[i] for i in order])
+                root = np.array([join.root(i) for i in range(len(ids))])
+                y = np.flatnonzero(root != np.arange(len(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[root[y]]), pa.array(ids[y])], names=["x", "y"])
 
-        held: dict[str, np.ndarray] | None = None
         for batch in batches:
-            now = {f: batch.column(k).to_numpy(zero_copy_only=False) for k, f in enumerate(fields[:-1])}
-            sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, PARTS + BITS // 8)
-            now |= {"parts": sketch[:, :PARTS], "bits": np.ascontiguousarray(sketch[:, PARTS:]).view(np.uint64)}
-            held = now if held is None else {f: np.concatenate([held[f], now[f]]) for f in now}
-            cuts = np.flatnonzero(held["g"][1:] != held["g"][:-1]) + 1
-            found, start = [], 0
-            for cut in cuts:
-                found += within({f: v[start:cut] for f, v in held.items()})
-                start = cut
-            yield from emit(found)
-            held = {f: v[start:] for f, v in held.items()}
-        if held is not None:
-            yield from emit(within(held))
-
-    return dealt.mapInArrow(run, "x bigint, y bigint").distinct()
-
-
-def _open(members: DataFrame) -> DataFrame:
-    """g and size of the regions whose classes are not all of one component."""
-    return members.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("g", "size")
-
-
-def _candidates(regions_of: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
-    """Pairs to compare next; regions_of: (g, k) of all regions of two or more classes; classes: k, n, c, pivot, d, sketch, regions, few."""
-    named = regions_of.join(classes.select("k", "c"), "k")
-    rows = named.select("g", "k").join(_open(named), "g")
+            flat, offsets = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_numpy()
+            for i, (b, r, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if now is not None and b != now:
+                    yield from finish()
+                    rid, n, sets = [], [], []
+                now = b
+                rid.append(r)
+                n.append(m)
+                sets.append(flat[offsets[i] : offsets[i + 1]].copy())
+        yield from finish()
+        trim()
+
+    dealt = members.select("block", "rid", "n", "shared").repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, "x bigint, y bigint")
+
+
+def _by_pivots(large: DataFrame, level: int) -> DataFrame:
+    """The regions of large blocks (with size): PIVOTS members of each block are drawn, and go to all its members in shares of LARGE."""
+    draw = F.struct(F.xxhash64("rid", F.lit(level)).alias("h"), "n", "shared")
+    some = large.where(F.pmod(F.xxhash64("rid", F.lit(level)), F.greatest(F.lit(1), F.floor(F.col("size") / (8 * PIVOTS)))) == 0)
+    pivots = some.groupBy("block", "size").agg(F.slice(F.sort_array(F.collect_list(draw)), 1, PIVOTS).alias("p"))
+    shares = F.ceil(F.col("size") / LARGE).cast("int")
+    pivots = pivots.select(F.col("block").alias("pb"), F.col("p.n").alias("pn"), F.col("p.shared").alias("ps"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    dealt = large.withColumn("mine", F.pmod(F.hash("rid"), shares))
+    both = dealt.join(pivots, (dealt["block"] == pivots["pb"]) & (dealt["mine"] == pivots["share"]))
+    fields = ["rid", "n", "shared", "first"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                block, row = [], []
+                pivots_of = zip(batch.column(0).to_pylist(), batch.column(5), batch.column(6), strict=True)
+                sets, n = batch.column(3).to_pylist(), batch.column(2).to_numpy()
+                last, held = None, None
+                for i, (b, pn, ps) in enumerate(pivots_of):
+                    if b != last:
+                        last, held = b, ([np.array(p, np.int64) for p in ps.as_py()], np.array(pn.as_py()))
+                    d = distances([np.array(sets[i], np.int64)], n[i : i + 1], *held)
+                    for j, part in enumerate(cells(d)):
+                        if len(part):
+                            row.append(i)
+                            block.append(xxhash.xxh3_64_intdigest(f"{b} {level} {j}".encode()) >> 1)
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *[batch.column(c).take(pa.array(row, pa.int64())) for c in (1, 2, 3, 4)]], names=["block", *fields])
+
+    return both.select("block", *fields, "pn", "ps").mapInArrow(run, "block bigint, rid bigint, n bigint, shared array<bigint>, first array<bigint>")
+
+
+def _by_first(large: DataFrame) -> DataFrame:
+    """A block for each of the first shingles: two members that link share one."""
+    each = large.select(F.col("block").alias("b"), "rid", "n", "shared", "first", F.explode("first").alias("g"))
+    return each.select(F.xxhash64("b", "g").alias("block"), "rid", "n", "shared", "first")
+
+
+def _by_size(large: DataFrame) -> DataFrame:
+    """Chunks of members by size, of LARGE / 2 members or so, each with itself and those later ones whose sizes allow a link."""
+    many = F.ceil(2 * F.col("size") / LARGE).cast("int")
+    # classes of sizes a quarter apart, each cut into chunks by a hash: sizes more than two classes apart cannot link
+    dealt = large.withColumn("z", F.floor(F.log("n") / float(np.log(NEAR[1] / NEAR[0]))).cast("int")).withColumn("cut", F.pmod(F.hash("rid"), many))
+    there = dealt.select("block", "z", "cut").distinct()
+    other = there.select(F.col("block").alias("b"), F.col("z").alias("zz"), F.col("cut").alias("cc"))
+    near = (F.col("zz") - F.col("z")).between(0, 1) & ((F.col("zz") > F.col("z")) | (F.col("cc") >= F.col("cut")))
+    met = there.join(other, (F.col("block") == F.col("b")) & near).withColumn("to", F.xxhash64("b", "z", "cut", "zz", "cc"))
+    both = met.select("block", "z", "cut", "to").union(met.select("block", "zz", "cc", "to")).distinct()
+    return dealt.join(both, ["block", "z", "cut"]).select(F.col("to").alias("block"), "rid", "n", "shared", "first")
+
+
+def _links(members: DataFrame) -> DataFrame:
+    """x, y of members (block, rid, n, shared, first): links enough to join what any links join."""
     out = None
-    for level in range(DIVIDE + 1):
-        part = rows if level == DIVIDE else rows.where(F.col("size") <= LARGE)
-        found = part.select("g", "k").join(classes.drop("regions", "few"), "k")
-        out = _pairs(found, best) if out is None else out.union(_pairs(found, best))
-        large = rows.where(F.col("size") > LARGE)
-        if level == DIVIDE or not large.limit(1).count():
-            break
-        # small sets are found by single shingles, of which any two that link share four at least
-        second = F.concat("regions", F.transform("few", lambda x: F.xxhash64(x)))
-        finer = large.select("g", "k").join(classes.select("k", "c", second.alias("second")), "k").select("k", "c", "g", F.explode("second").alias("h")).where("g <> h").select("k", "c", F.xxhash64("g", "h").alias("g"))
-        finer = Stored(finer, "finer").df
-        rows = finer.select("g", "k").join(_open(finer), "g")
-    return out.distinct()
+    steps = [lambda d: _by_pivots(d, 0), _by_first, lambda d: _by_pivots(d, 1), lambda d: _by_pivots(d, 2), _by_size]
+    for step in [*steps, None]:
+        sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        sized = members.join(sizes, "block")
+        part = _joined(sized if step is None else sized.where(F.col("size") <= LARGE))
+        out = part if out is None else out.unionByName(part)
+        if step is None or not sizes.where(F.col("size") > LARGE).limit(1).count():
+            return out
+        members = Stored(step(sized.where(F.col("size") > LARGE)), "regions").df
 
 
 def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,47 +493,34 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     A null or empty text, and one of white space only, has no shingles and is linked with nothing; a text of fewer
     than five words is one shingle. Rows of equal sets are one class. Rows of a null key have a null component and
-    link nothing; rows of one key are one document whose texts all count. An empty table gives an empty one. Other
-    columns are left out.
+    link nothing; rows of one key are one document whose texts all count. Keys may be of any type that has an order.
+    An empty table gives an empty one. Other columns are left out.
     """
     spark = df.sparkSession
     small_batches(spark)
-    members = Stored(describe(df, key, text), "sets").df
-    some = members.where("n > 0 and k is not null")
-    # equal sets have equal sketches and regions, so any row's will do
-    classes = Stored(some.groupBy("a", "b", "n").agg(F.min("k").alias("k"), F.first("sketch").alias("sketch"), F.first("regions").alias("regions"), F.first("few").alias("few")), "classes").df
-    each = Stored(classes.select(F.explode("regions").alias("g"), "k", "n").unionByName(_rarest(classes).select("g", "k", "n")), "each").df
-    shared = each.groupBy("g").agg(F.min(F.struct("k", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").select("g", F.col("p.k").alias("pivot"), F.col("p.n").alias("pn"))
-    regions_of = Stored(each.join(shared, "g"), "regions").df
-    release(spark)
-    stars = regions_of.where((F.col("k") != F.col("pivot")) & _close("n", "pn")).groupBy("k", "pivot").agg(F.count(F.lit(1)).alias("common"))
-    chosen = stars.groupBy("k").agg(F.max(F.struct("common", -F.col("pivot"))).alias("s")).select((-F.col("s.col2")).alias("x"), F.col("k").alias("y"))
-    first = Stored(compare(Stored(chosen, "chosen").df, df, key, text), "first").df
+    told = Stored(describe(df, key, text), "described").df
     release(spark)
-    links = linked(first)
-    near_pivot = first.groupBy(F.col("y").alias("k")).agg(F.max(F.struct("x", F.col("inter") / F.col("both"))).alias("p")).select("k", F.col("p.x").alias("pivot"), (1 - F.col("p.col2")).alias("d"))
-    done = first.select("x", "y")
-    for best in (True, False):
-        labels = components(links)
-        with_label = classes.join(labels.withColumnRenamed("k", "k_"), F.col("k") == F.col("k_"), "left").join(near_pivot.withColumnRenamed("k", "p_"), F.col("k") == F.col("p_"), "left")
-        # without a distance of its own a class is its own pivot, which it shares with those compared with it
-        labelled = Stored(
-            with_label.select("k", "n", F.coalesce("c", "k").alias("c"), F.coalesce("pivot", "k").alias("pivot"), F.coalesce("d", F.lit(0.0)).alias("d"), "sketch", "regions", "few"), "labelled"
-        ).df
-        more = _candidates(regions_of.select("g", "k"), labelled, best).join(done, ["x", "y"], "left_anti")
-        more = Stored(more, "pairs").df
-        release(spark)
-        found = Stored(compare(more, df, key, text), "found").df
-        release(spark)
-        links = links.union(linked(found))
-        done = done.union(found.select("x", "y"))
-    labels = components(links).withColumnRenamed("k", "k_")
-    component = classes.select("a", "b", "n", "k").join(labels, F.col("k") == F.col("k_"), "left").select("a", "b", "n", F.coalesce("c", "k").alias("c"))
-    # texts of one key link their components as well
-    return (
-        members.select("k", "a", "b", "n").join(component, ["a", "b", "n"], "left")
-        .select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("k").isNull(), F.lit(None)).otherwise(F.coalesce("c", "k")).alias("component_id"))
-    )
+    some = told.where("n > 0 and k is not null")
+    classes = Stored(some.groupBy("a", "b", "n").agg(F.min("rid").alias("rep"), F.min("k").alias("least")), "classes").df
+    suspects = some.where(F.size("first") > 0)
+    # equal sets have equal first shingles, so the class's one row will do
+    suspects = Stored(suspects.join(classes.select(F.col("rep").alias("rid")), "rid").select("rid", "n", "first", "shared"), "suspects").df
+    each = suspects.select("rid", F.explode("first").alias("g"))
+    regions = each.groupBy("g").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("g", "lo")
+    blocks = components(each.join(regions, "g").where("rid <> lo").select(F.col("lo").alias("x"), F.col("rid").alias("y")).distinct())
+    members = suspects.join(blocks.withColumnRenamed("k", "rid"), "rid").select(F.col("c").alias("block"), "rid", "n", "shared", "first")
+    links = _links(Stored(members, "members").df)
+    # texts of one key are one document
+    reps = some.select("k", "a", "b", "n").join(classes, ["a", "b", "n"]).groupBy("k").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
+    twice = some.select("k", "a", "b", "n").join(reps.select("k", "x"), "k").join(classes, ["a", "b", "n"]).select("x", F.col("rep").alias("y")).where("x <> y")
+    labels = components(links.union(twice.distinct()))
+    named = classes.join(labels.withColumnRenamed("k", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    least = named.groupBy("c").agg(F.min("least").alias("component"))
+    named = named.join(least, "c").select("a", "b", "n", "component")
+    rest = told.where("n = 0 or k is null").select("k", "n", F.col("k").alias("component"))
+    # a document whose texts are empty here and not there is one with its other rows' component only in these
+    out = some.select("k", "a", "b", "n").join(named, ["a", "b", "n"]).select("k", "n", "component").unionByName(rest)
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 ORACLE_SQL = r"""
