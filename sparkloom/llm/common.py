@@ -9,6 +9,7 @@ import tempfile
 import time
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,24 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def low_bytes(x: np.ndarray, n: int) -> np.ndarray:
+    """The n low bytes of whole numbers, as rows of bytes."""
+    return np.ascontiguousarray(x.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :n]
+
+
+def number(rows: np.ndarray) -> np.ndarray:
+    """The whole numbers of rows of up to eight bytes."""
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out.view(np.uint64).ravel()
+
+
+def packed(rows: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary value for each stretch of rows of bytes; ends: where the stretches end."""
+    offsets = (np.r_[0, ends] * rows.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, release, small_batches, text_or_empty, trim
+from .common import Stored, low_bytes, number, packed, release, small_batches, text_or_empty, trim
 
 WORDS = 5
 #: A link needs NEAR[0] * union <= NEAR[1] * intersection; at most this distance.
@@ -92,22 +92,6 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
 
 
-def _packed(rows: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """A binary value for each stretch of rows of bytes."""
-    offsets = (np.r_[0, ends] * rows.shape[1]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
-def _bytes(x: np.ndarray, n: int) -> np.ndarray:
-    return np.ascontiguousarray(x.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :n]
-
-
-def _number(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), 8), np.uint8)
-    out[:, : rows.shape[1]] = rows
-    return out.view(np.uint64).ravel()
-
-
 def _emitted(source: DataFrame, buckets: int) -> DataFrame:
     """bucket, batch, data: for each batch of documents its shingles by bucket (5 bytes each, and 2 that number the
     document); and one row a document (bucket < 0) with idx, k, n, a, b (128 bits that stand for the set)."""
@@ -138,7 +122,7 @@ def _emitted(source: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
             count = np.bincount(bucket.astype(np.int64), minlength=buckets)
             there = np.flatnonzero(count)
-            data = _packed(np.hstack([_bytes(h[order], 5), _bytes(idx[order], 2)]), np.cumsum(count[there]))
+            data = packed(np.hstack([low_bytes(h[order], 5), low_bytes(idx[order], 2)]), np.cumsum(count[there]))
             many = len(there)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(there.astype(np.int32)), pa.array(np.full(many, batch)), data, pa.nulls(many, pa.int32()), pa.nulls(many, k.type), *[pa.nulls(many, pa.int64())] * 3],
@@ -174,7 +158,7 @@ def _counted(emitted: DataFrame) -> DataFrame:
     def repeated(rows: list[tuple[int, bytes]], bucket: int) -> Iterator[pa.RecordBatch]:
         size = np.array([len(d) // 7 for _, d in rows])
         raw = np.frombuffer(b"".join(d for _, d in rows), np.uint8).reshape(-1, 7)
-        h, source = _number(raw[:, :5]), np.repeat(np.arange(len(rows)), size)
+        h, source = number(raw[:, :5]), np.repeat(np.arange(len(rows)), size)
         order = np.argsort(h, kind="stable")
         s = h[order]
         start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
@@ -185,13 +169,13 @@ def _counted(emitted: DataFrame) -> DataFrame:
             return
         back = np.argsort(order, kind="stable")
         order, df = order[back], np.minimum(df[back], 65_535)
-        data = np.hstack([raw[order], _bytes(df, 2)])
+        data = np.hstack([raw[order], low_bytes(df, 2)])
         count = np.bincount(source[order], minlength=len(rows))
         there = np.flatnonzero(count)
         many = len(there)
         batch = np.array([b for b, _ in rows])[there]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(many, bucket, np.int32)), pa.array(batch), _packed(data, np.cumsum(count[there])), *[pa.nulls(many, kinds[c]) for c in names[3:]]], names=names
+            [pa.array(np.full(many, bucket, np.int32)), pa.array(batch), packed(data, np.cumsum(count[there])), *[pa.nulls(many, kinds[c]) for c in names[3:]]], names=names
         )
 
     kinds: dict[str, pa.DataType] = {}
@@ -232,7 +216,7 @@ def _described(counted: DataFrame) -> DataFrame:
         if parts:
             raw = np.frombuffer(b"".join(d for _, d in parts), np.uint8).reshape(-1, 9)
             bucket = np.repeat(np.array([b for b, _ in parts], np.uint64), [len(d) // 9 for _, d in parts])
-            g, idx, df = (_number(raw[:, :5]) | bucket << LOW).astype(np.int64), _number(raw[:, 5:7]).astype(np.int64), _number(raw[:, 7:]).astype(np.int64)
+            g, idx, df = (number(raw[:, :5]) | bucket << LOW).astype(np.int64), number(raw[:, 5:7]).astype(np.int64), number(raw[:, 7:]).astype(np.int64)
             order = np.lexsort([g, df, idx])
             g, count = g[order], np.bincount(idx, minlength=len(n))
             end = np.cumsum(count)

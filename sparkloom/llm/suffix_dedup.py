@@ -6,14 +6,17 @@ times the corpus, so a digit is a stretch of bytes chosen by content, and whole
 
 1. Each window of 50 bytes names an anchor, a stretch of 31 bytes in it, by the least hash of its 11-byte stretches
    (taken modulo 20); equal windows name the same one. About one position in eighteen is an anchor. The first digit is
-   the anchor; suffixes whose anchor no other context has are settled.
-2. The second digit is the anchor's context, all bytes of the windows that name it. Within equal contexts every window
-   repeats in the least document: the others are removed there.
+   the anchor (40 bits of a hash and the bucket's number; a collision only sends more to step 3); suffixes whose anchor
+   no other context has are settled.
+2. The second digit is the anchor's context, all bytes of the windows that name it, as 80 more bits. Within equal
+   contexts every window repeats in the least document: the others are removed there.
 3. Only where an anchor has several contexts, as at the ends of repeated passages, the windows themselves are sorted,
-   by the 128-bit hash of all their bytes, and those that also start in a lesser document are removed.
+   by the 80 bits of a hash of all their bytes within the buckets of another, and those that also start in a lesser
+   document are removed.
 
-Each step first settles what one batch of documents can, so that of a passage that most documents hold only one
-occurrence a batch moves.
+Suffixes travel as packed arrays by bucket of their digit, so that one task holds a bucket of bounded size. Each step
+first settles what one batch of documents can, so that of a passage that most documents hold only one occurrence a
+batch moves: a hot digit is one row a batch.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, release, text_or_empty
+from .common import Stored, low_bytes, number, packed, release, text_or_empty, trim
 
 DEPTH, ANCHOR, SPACING, SEED = 50, 31, 20, 11
 #: Bytes that are hashed at a time, and window starts of one piece of a long text.
 PIECE = 1 << 20
 ROWS = 512
+#: Characters of text to a bucket of digits, and the least and greatest number of buckets.
+BUCKET_BYTES, BUCKETS = 8 << 20, (64, 1 << 18)
 _LOW = np.uint64((1 << 28) - 1)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -50,8 +55,8 @@ def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return eight[: len(data) + 8], four[: len(data) + 8]
 
 
-def anchors(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts that lie in data: each anchor's hash, its context's hash, its text, and its first and last window."""
+def anchors(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts that lie in data: each anchor's hash, its context's two hashes, its text, and its first and last window."""
     eight, four = _words(data)
     n = len(data) - SEED + 1
     h = eight[:n] * _C[0] ^ four[SEED - 4 : SEED - 4 + n] * _C[1]
@@ -81,12 +86,14 @@ def anchors(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndar
     for k in (8, 16, ANCHOR - 8):
         key = _mix(key * _C[0] + eight[a + k])
     end = hi + DEPTH
-    context = ((a - lo) << 8 | (end - lo)).astype(np.uint64)
+    size = ((a - lo) << 8 | (end - lo)).astype(np.uint64)
+    x, y = size * _C[4], size ^ _C[5]
     for k in range(0, DEPTH + SPACING, 8):
         inside = lo + k + 8 <= end
-        context = np.where(inside, _mix(context * _C[1] + eight[np.where(inside, lo + k, 0)]), context)
-    context = _mix(context * _C[2] + eight[end - 8])
-    return key, context, who, lo, hi
+        word = eight[np.where(inside, lo + k, 0)]
+        x, y = np.where(inside, _mix(x * _C[1] + word), x), np.where(inside, _mix(y * _C[3] + (word ^ _C[0])), y)
+    word = eight[end - 8]
+    return key, _mix(x * _C[2] + word), _mix(y * _C[5] + (word ^ _C[1])), who, lo, hi
 
 
 def _first_of_batch(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,12 +124,79 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return doc[start], lo[start], np.maximum.reduceat(hi, start)
 
 
-def _digits(source: DataFrame) -> DataFrame:
-    """k, f, doc, pos: anchors (pos: first window << 8 | number of windows - 1), and what the batch has settled
-    (pos: start << 8 | 128, f: length)."""
+def _dealt(buckets: int, digit: np.ndarray, keys: list[tuple[np.ndarray, int]], doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch | None:
+    """bucket, base, widths, data: occurrences by bucket of their digit; keys: numbers and how many bytes of them go."""
+    if not len(doc):
+        return None
+    bucket = (digit >> np.uint64(40)) & np.uint64(buckets - 1)
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+    base = int(doc.min())
+    wide = [max(1, (int(x).bit_length() + 7) // 8) for x in (int(doc.max()) - base, pos.max())]
+    rows = np.hstack([low_bytes(x[order], n) for x, n in [*keys, (doc.view(np.uint64) - np.uint64(base % (1 << 64)), wide[0]), (pos, wide[1])]])
+    count = np.bincount(bucket.astype(np.int64), minlength=buckets)
+    there = np.flatnonzero(count)
+    many = len(there)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(there.astype(np.int32)), pa.array(np.full(many, base)), pa.array(np.full(many, wide[0] << 8 | wide[1], np.int32)), packed(rows, np.cumsum(count[there]))], names=["bucket", "base", "widths", "data"]
+    )
+
+
+def _settled(buckets: int, at: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """The same columns, of stretches to remove; they pass through the sort (bucket < 0)."""
+    rows = np.hstack([low_bytes(x.view(np.uint64), 8) for x in (doc, lo.astype(np.int64), hi.astype(np.int64))])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([-1 - at % buckets], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int32()), packed(rows, np.array([len(doc)]))], names=["bucket", "base", "widths", "data"]
+    )
+
+
+DEALT = "bucket int, base bigint, widths int, data binary"
+
+
+def _in_buckets(dealt: DataFrame, sort, keys: list[int], schema: str) -> DataFrame:
+    """sort(the keys, doc, pos of all occurrences of a bucket) gives a batch of schema: doc, lo, hi and more."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        now = None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            columns: list[list[np.ndarray]] = [[] for _ in range(len(keys) + 2)]
+            for base, widths, data in held:
+                each = [*keys, widths >> 8, widths & 255]
+                rows = np.frombuffer(data, np.uint8).reshape(-1, sum(each))
+                at = 0
+                for k, n in enumerate(each):
+                    x = number(rows[:, at : at + n])
+                    columns[k].append((x + np.uint64(base % (1 << 64))).view(np.int64) if k == len(keys) else x)
+                    at += n
+            found = sort(*[np.concatenate(c) for c in columns])
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names)
+
         for batch in batches:
+            for bucket, base, widths, data in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if bucket < 0:
+                    d, lo, hi = np.frombuffer(data, np.int64).reshape(-1, 3).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (d, lo, hi, *[np.zeros(len(d), np.int32)] * (len(names) - 3))], names=names)
+                    continue
+                if bucket != now and held:
+                    yield from finish()
+                    held = []
+                now = bucket
+                held.append((base, widths, data))
+        if held:
+            yield from finish()
+        trim()
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def _digits(source: DataFrame, buckets: int) -> DataFrame:
+    """Anchors (pos: first window << 7 | number of windows - 1) by bucket, and what the batch has settled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number_, batch in enumerate(batches):
             ids = batch.column(0).to_numpy()
             parts: list[tuple[np.ndarray, ...]] = []
             held: list[bytes] = []
@@ -132,9 +206,9 @@ def _digits(source: DataFrame) -> DataFrame:
             def flush(parts=parts, held=held, begins=begins, owners=owners) -> None:
                 if held:
                     starts, sizes = np.array(begins), np.array([len(x) for x in held])
-                    key, context, who, lo, hi = anchors(b"".join(held), starts, sizes)
+                    key, x, y, who, lo, hi = anchors(b"".join(held), starts, sizes)
                     own = np.array(owners)
-                    parts.append((key, context.astype(np.uint32).view(np.int32), own[who, 0], lo - starts[who] + own[who, 1], hi - lo))
+                    parts.append((key, x, y & np.uint64(0xFFFF), own[who, 0], lo - starts[who] + own[who, 1], hi - lo))
                 for x in (held, begins, owners):
                     x.clear()
 
@@ -153,82 +227,58 @@ def _digits(source: DataFrame) -> DataFrame:
             flush()
             if not parts:
                 continue
-            key, context, row, lo, more = (np.concatenate(c) for c in zip(*parts, strict=True))
+            key, x, y, row, lo, more = (np.concatenate(c) for c in zip(*parts, strict=True))
             doc = ids[row]
-            again, keep = _first_of_batch([key, context], doc)
+            again, keep = _first_of_batch([key, x, y], doc)
             # stretches are joined by their windows, not their bytes: a window that bridges two of them may be new
             d, a, b = _merged(doc[again], lo[again], (lo + more + 1)[again])
-            b += DEPTH - 1
-            k = np.concatenate([key[keep], _mix(d.astype(np.uint64) * _C[5])]).view(np.int64)
-            f = np.concatenate([context[keep], (b - a).astype(np.int32)])
-            pos = np.concatenate([(lo[keep] << 8) | more[keep], (a << 8) | 128])
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(f), pa.array(np.concatenate([doc[keep], d])), pa.array(pos)], names=["k", "f", "doc", "pos"])
+            if len(d):
+                yield _settled(buckets, number_, d, a, b + DEPTH - 1)
+            out = _dealt(buckets, key[keep], [(key[keep], 5), (x[keep], 8), (y[keep], 2)], doc[keep], (lo[keep] << 7) | more[keep])
+            if out is not None:
+                yield out
+        trim()
 
-    return source.mapInArrow(run, "k bigint, f int, doc bigint, pos bigint")
+    return source.mapInArrow(run, DEALT)
 
 
 def _sort_digits(digits: DataFrame) -> DataFrame:
     """doc, lo, hi, fine: stretches to remove (fine 0), and first and last windows that need the last step (fine 1)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: tuple[np.ndarray, ...] | None = None
-        seen: tuple[int, int, int] | None = None  # anchor of several contexts that goes on, its last context, that one's least document
-
-        def out(doc, lo, hi, fine) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo), pa.array(hi), pa.array(fine)], names=["doc", "lo", "hi", "fine"])
-
-        for batch in batches:
-            k, f, doc, pos = (batch.column(c).to_numpy() for c in range(4))
-            settled = pos & 128 != 0
-            d, a, n = doc[settled], pos[settled] >> 8, f[settled].astype(np.int64)
-            k, f, doc, pos = (x[~settled] for x in (k, f, doc, pos))
-            if carry is not None:
-                k, f, doc, pos = (np.concatenate([c, x]) for c, x in zip(carry, (k, f, doc, pos), strict=True))
-                carry = None
-            if not len(k):
-                if len(d):
-                    yield out(d, a, a + n, np.zeros(len(d), np.int32))
-                continue
-            goes_on = seen is not None and k[0] == seen[0]
-            same = goes_on and f[0] == seen[1]
-            new_k = np.r_[True, k[1:] != k[:-1]]
-            new_f = new_k | np.r_[True, f[1:] != f[:-1]]
-            start_f = np.flatnonzero(new_f)
-            least = doc[start_f].copy()
-            if same:
-                least[0] = seen[2]
-            least = np.repeat(least, np.diff(np.r_[start_f, len(k)]))
-            start_k = np.flatnonzero(new_k)
-            contexts = np.add.reduceat(new_f.astype(np.int64), start_k)
-            if goes_on:
-                contexts[0] = 2
-            several = np.repeat(contexts > 1, np.diff(np.r_[start_k, len(k)]))
-            lo, hi = pos >> 8, (pos >> 8) + (pos & 127)
-            again = doc > least
-            fine = ~again & several
-            yield out(
-                np.concatenate([d, doc[again], doc[fine]]),
-                np.concatenate([a, lo[again], lo[fine]]),
-                np.concatenate([a + n, hi[again] + DEPTH, hi[fine]]),
-                np.repeat(np.array([0, 1], np.int32), [len(d) + int(again.sum()), int(fine.sum())]),
-            )
-            if contexts[-1] > 1:
-                seen = (k[-1], f[-1], least[-1])
-            else:
-                # one context so far: its least document's occurrences wait for a second one
-                seen, wait = None, np.arange(len(k)) >= start_k[-1]
-                wait &= ~again
-                carry = (k[wait], f[wait], doc[wait], pos[wait])
-
-    return digits.repartition("k").sortWithinPartitions("k", "f", "doc").mapInArrow(run, "doc bigint, lo bigint, hi bigint, fine int")
-
-
-def _windows(source: DataFrame) -> DataFrame:
-    """a, b, doc, at: the windows that are left to sort, by their hash; and what the batch has settled (at: -1 - start,
-    b: end)."""
+    def sort(key: np.ndarray, x: np.ndarray, y: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+        # anchors that occur once are settled, before the longer digits are looked at
+        order = np.argsort(key, kind="stable")
+        s = key[order]
+        same = s[1:] == s[:-1]
+        order = order[np.r_[False, same] | np.r_[same, False]]
+        key, x, y, doc, pos = key[order], x[order], y[order], doc[order], pos[order].astype(np.int64)
+        order = np.lexsort([doc, y, x, key])
+        key, x, y, doc, pos = key[order], x[order], y[order], doc[order], pos[order]
+        new_key = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        new = new_key | np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(key)]
+        start, start_key = np.flatnonzero(new), np.flatnonzero(new_key)
+        if not len(start):
+            return doc, pos, pos, np.zeros(0, np.int32)
+        least = np.repeat(doc[start], np.diff(np.r_[start, len(doc)]))
+        several = np.repeat(np.add.reduceat(new.astype(np.int64), start_key) > 1, np.diff(np.r_[start_key, len(doc)]))
+        lo, hi = pos >> 7, (pos >> 7) + (pos & 127)
+        again = doc > least
+        fine = ~again & several
+        return (
+            np.concatenate([doc[again], doc[fine]]),
+            np.concatenate([lo[again], lo[fine]]),
+            np.concatenate([hi[again] + DEPTH, hi[fine]]),
+            np.repeat(np.array([0, 1], np.int32), [int(again.sum()), int(fine.sum())]),
+        )
+
+    return _in_buckets(digits, sort, [5, 8, 2], "doc bigint, lo bigint, hi bigint, fine int")
+
+
+def _windows(source: DataFrame, buckets: int) -> DataFrame:
+    """The windows that are left to sort, by bucket of their hash, and what the batch has settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for number_, batch in enumerate(batches):
             parts = []
             ids = batch.column(0).to_numpy()
             for row in range(batch.num_rows):
@@ -254,41 +304,32 @@ def _windows(source: DataFrame) -> DataFrame:
                 continue
             x, y, doc, w = (np.concatenate(c) for c in zip(*parts, strict=True))
             again, keep = _first_of_batch([x, y], doc)
-            d, a, b = _merged(doc[again], w[again], w[again] + DEPTH)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([x[keep], _mix(d.astype(np.uint64) * _C[5])]).view(np.int64)),
-                    pa.array(np.concatenate([y[keep].view(np.int64), b])),
-                    pa.array(np.concatenate([doc[keep], d])),
-                    pa.array(np.concatenate([w[keep], -1 - a])),
-                ],
-                names=["a", "b", "doc", "at"],
-            )
+            if again.any():
+                yield _settled(buckets, number_, *_merged(doc[again], w[again], w[again] + DEPTH))
+            out = _dealt(buckets, y[keep], [(x[keep], 8), (y[keep], 2)], doc[keep], w[keep])
+            if out is not None:
+                yield out
+        trim()
 
-    return source.mapInArrow(run, "a bigint, b bigint, doc bigint, at bigint")
+    return source.mapInArrow(run, DEALT)
 
 
 def _sort_windows(windows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[int, int, int] | None = None
-        for batch in batches:
-            a, b, doc, at = (batch.column(c).to_numpy() for c in range(4))
-            settled = at < 0
-            d, lo, hi = doc[settled], -1 - at[settled], b[settled]
-            a, b, doc, at = (x[~settled] for x in (a, b, doc, at))
-            if len(a):
-                start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                least = doc[start].copy()
-                if seen is not None and seen[:2] == (a[0], b[0]):
-                    least[0] = seen[2]
-                seen = (a[-1], b[-1], least[-1])
-                again = doc > np.repeat(least, np.diff(np.r_[start, len(a)]))
-                d = np.concatenate([d, doc[again]])
-                lo, hi = np.concatenate([lo, at[again]]), np.concatenate([hi, at[again] + DEPTH])
-            d, lo, hi = _merged(d, lo, hi)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(lo), pa.array(hi)], names=["doc", "lo", "hi"])
-
-    return windows.repartition("a").sortWithinPartitions("a", "b", "doc").mapInArrow(run, "doc bigint, lo bigint, hi bigint")
+    def sort(x: np.ndarray, y: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(x, kind="stable")
+        s = x[order]
+        same = s[1:] == s[:-1]
+        order = order[np.r_[False, same] | np.r_[same, False]]
+        x, y, doc, pos = x[order], y[order], doc[order], pos[order].astype(np.int64)
+        order = np.lexsort([doc, y, x])
+        x, y, doc, pos = x[order], y[order], doc[order], pos[order]
+        start = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)])
+        if not len(start):
+            return doc, pos, pos
+        again = doc > np.repeat(doc[start], np.diff(np.r_[start, len(doc)]))
+        return _merged(doc[again], pos[again], pos[again] + DEPTH)
+
+    return _in_buckets(windows, sort, [8, 2], "doc bigint, lo bigint, hi bigint")
 
 
 def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,11 +342,15 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     source = df.select(F.col(f"`{key}`").cast("long").alias("k"), text_or_empty(f"`{text}`").alias("t"))
     spark = df.sparkSession
-    sorted_ = Stored(_sort_digits(_digits(source.where("k is not null"))), "digits").df
+    total = source.agg(F.sum(F.length("t"))).first()[0] or 0
+    buckets = BUCKETS[0]
+    while buckets < BUCKETS[1] and buckets * BUCKET_BYTES < total:
+        buckets *= 2
+    sorted_ = Stored(_sort_digits(_digits(source.where("k is not null"), buckets)), "digits").df
     release(spark)
     todo = sorted_.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"), F.collect_list("fine").alias("fine"))
     left = source.join(todo, source["k"] == todo["doc"]).where(F.array_contains("fine", 1)).select("k", "t", "lo", "hi", "fine")
-    windows = Stored(_sort_windows(_windows(left)), "windows").df
+    windows = Stored(_sort_windows(_windows(left, buckets)), "windows").df
     release(spark)
     gone = sorted_.where("fine = 0").select("doc", "lo", "hi").union(windows).groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     final = source.join(gone, source["k"] == gone["doc"], "left").select("k", "t", "lo", "hi")

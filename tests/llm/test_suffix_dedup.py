@@ -46,6 +46,25 @@ def test_windows_that_bridge_two_repeats_are_sources(spark):
     check(spark, rows)
 
 
+def test_a_line_of_very_many_documents_takes_nothing_unique(spark):
+    """74 bytes that all documents hold, with 30 random letters on each side: contexts of one anchor, as many as documents."""
+    rnd = random.Random(11)
+    line = "Licensed under the terms that the file of that name gives, see it for all."
+    letters = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    assert len(line) == 74
+    check(spark, [(k, letters(30) + line + letters(30)) for k in range(12_000)])
+    texts = [(letters(30) + line + letters(30)).encode() for _ in range(320_000)]
+    seen: dict[tuple, bytes] = {}
+    for at in range(0, len(texts), 4000):
+        part = texts[at : at + 4000]
+        data, size = b"".join(part), len(part[0])
+        key, x, y, who, lo, hi = S.anchors(data, S.np.arange(len(part)) * size, S.np.full(len(part), size))
+        for k, a, b, i, j in zip(key.tolist(), x.tolist(), (y & S.np.uint64(0xFFFF)).tolist(), lo.tolist(), hi.tolist(), strict=True):
+            own = data[i : j + S.DEPTH]
+            if line[:40].encode() in own or line[-40:].encode() in own:  # the others are all random
+                assert seen.setdefault((k, a, b), own) == own
+
+
 def test_long_texts_go_in_pieces(spark, monkeypatch):
     rnd = random.Random(4)
     long = "".join(rnd.choice("abcdefgh ") for _ in range(20_000))
