@@ -2,13 +2,13 @@
 
 A gram is the shortest run of lines from a line on that has LEAST words. Of all grams within a window, the shortest
 run that has SURE words, the one with the least hash is a fingerprint; so any repeated run of SURE words has one in
-common with its copies, and a run below LEAST words has none. Each fingerprint is joined with its first position in
-the order of (key, line), the match is extended over equal lines both ways through what the next fingerprints do not cover whole, and the lines
-of all matches but the first are deleted.
+common with its copies. Positions are joined on fingerprints; where one occurs twice, the match is extended both ways:
+the shortest runs of SURE words from each line on and up to each line that hold a repeated fingerprint are compared
+whole, by 128 bits, each with the first place of that very run. A longer repeated run is the union of those in it, so
+an extension goes on to the first unequal line, whichever earlier copy it is equal to. What is deleted is exactly this:
+every line in any run of SURE words or more that also starts earlier in the order of rows and lines.
 
-The first position is one partner of many, and a longer run may have occurred elsewhere. So with whole, the shortest
-runs of SURE words from each line on and up to each line are compared too, each with the first place of that very run:
-of an earlier run of SURE words or more every line is in one of them, so nothing of it stays.
+Only hashes of lines and their numbers of words travel; the text is read once for them, and once to be rebuilt.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import Stored, small_batches, text_or_empty, trim
 
-LEAST, SURE = 10, 25
+LEAST, SURE = 5, 10
 ROWS = 256
 
 
@@ -67,15 +67,13 @@ def fingerprints(text: str, least: int = LEAST, sure: int = SURE) -> tuple[list[
     return hashes, [(grams[i][0], i, grams[i][1]) for i in sorted(chosen)]
 
 
-def sure_runs(hashes: list[int], text: str, sure: int = SURE) -> list[tuple[int, int, int]]:
-    """(hash, first line, last line) of the shortest runs of SURE words from each line on, and up to each line."""
+def sure_runs(words: list[int], marks: list[tuple[int, int]], sure: int = SURE) -> list[tuple[int, int]]:
+    """(first line, last line) of the shortest runs of SURE words from each line on, and up to each line, that hold one
+    of the marked stretches (first line, last line); words: of each line."""
     upto = [0]
-    for x in text.split("\n"):
-        upto.append(upto[-1] + len(x.split()))
-    n = len(hashes)
-    if upto[-1] < sure:
-        return []
-    found: set[tuple[int, int]] = set()
+    for x in words:
+        upto.append(upto[-1] + x)
+    n, found = len(words), set()
     end = start = 0
     for i in range(n):
         while end < n and upto[end + 1] - upto[i] < sure:
@@ -88,48 +86,63 @@ def sure_runs(hashes: list[int], text: str, sure: int = SURE) -> list[tuple[int,
             while upto[j + 1] - upto[start + 1] >= sure:
                 start += 1
             found.add((start, j))
-    flat = np.array(hashes, np.uint64)
-    # the seed keeps them apart from grams of the same lines
-    return [(xxhash.xxh3_64_intdigest(flat[i : j + 1].tobytes(), seed=1), i, j) for i, j in sorted(found)]
+    # the least end of a mark that begins at each line or later
+    least = [n] * (n + 1)
+    for i, e in marks:
+        least[i] = min(least[i], e)
+    for i in range(n - 1, -1, -1):
+        least[i] = min(least[i], least[i + 1])
+    return [(i, j) for i, j in sorted(found) if least[i] <= j]
+
+
+def _lists(values: list, kind: type) -> pa.Array:
+    offsets = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(x) for x in values], out=offsets[1:])
+    flat = np.array([y for x in values for y in x], kind)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64) if kind is np.uint64 else flat))
 
 
-def _occurrences(source: DataFrame, least: int, sure: int, whole: bool) -> DataFrame:
+def _lines(source: DataFrame, least: int, sure: int) -> DataFrame:
+    """k, h, hashes and words of the lines, and fp, at, to of the fingerprints, of rows (k, h, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                hashes, words, prints = [], [], []
+                for text in batch.column(2).to_pylist():
+                    h, found = fingerprints(text, least, sure)
+                    hashes.append(h)
+                    words.append([len(x.split()) for x in text.split("\n")])
+                    prints.append(found)
+                columns = [_lists([[x[c] for x in found] for found in prints], kind) for c, kind in enumerate((np.uint64, np.int32, np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(hashes, np.uint64), _lists(words, np.int32), *columns], names=["k", "h", "hashes", "words", "fp", "at", "to"])
+        trim()
+
+    return source.mapInArrow(run, f"k {source.dtypes[0][1]}, h bigint, hashes array<bigint>, words array<int>, fp array<bigint>, at array<int>, to array<int>")
+
+
+def _runs(marked: DataFrame, sure: int) -> DataFrame:
+    """a, b (128 bits that stand for its lines), k, h, lo, hi of the runs of SURE words that hold a repeated
+    fingerprint; marked: k, h, hashes, words, marks (array of struct<at, to>)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, fp, at, to, before, after = [], [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                hashes, found = fingerprints(text, least, sure)
-                for x, (h, i, e) in enumerate(found):
-                    # past these the neighbouring grams are whole, and match or not by themselves
-                    lo = found[x - 1][1] + 1 if x else 0
-                    hi = max(e + 1, found[x + 1][2]) if x + 1 < len(found) else len(hashes)
-                    row.append(k)
-                    fp.append(h)
-                    at.append(i)
-                    to.append(e)
-                    before.append(hashes[lo:i][::-1])
-                    after.append(hashes[e + 1 : hi])
-                for h, i, e in sure_runs(hashes, text, sure) if whole else ():
+            row, lo, hi, digest = [], [], [], []
+            for k, (hashes, words, marks) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                flat = np.array(hashes, np.int64)
+                for i, j in sure_runs(words, [(m["at"], m["to"]) for m in marks], sure):
                     row.append(k)
-                    fp.append(h)
-                    at.append(i)
-                    to.append(e)
-                    before.append([])
-                    after.append([])
-            lists = [_lists(before), _lists(after)]
+                    lo.append(i)
+                    hi.append(j)
+                    digest.append(xxhash.xxh3_128_digest(flat[i : j + 1].tobytes()))
+            ab = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+            at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(fp, np.uint64).view(np.int64)), batch.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(to, pa.int32()), *lists],
-                names=["fp", "k", "at", "to", "before", "after"],
+                [pa.array(ab[:, 0]), pa.array(ab[:, 1]), batch.column(0).take(at), batch.column(1).take(at), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["a", "b", "k", "h", "lo", "hi"]
             )
 
-    return source.mapInArrow(run, f"fp bigint, k {source.dtypes[0][1]}, at int, to int, before array<bigint>, after array<bigint>")
-
-
-def _lists(values: list[list[int]]) -> pa.Array:
-    offsets = np.zeros(len(values) + 1, np.int32)
-    np.cumsum([len(x) for x in values], out=offsets[1:])
-    flat = np.array([y for x in values for y in x], np.uint64).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    return marked.mapInArrow(run, f"a bigint, b bigint, k {dict(marked.dtypes)['k']}, h bigint, lo int, hi int")
 
 
 def _rebuilt(joined: DataFrame, at: int) -> DataFrame:
@@ -157,33 +170,35 @@ def _rebuilt(joined: DataFrame, at: int) -> DataFrame:
     return joined.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_lines bigint, n_removed bigint")
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, sure: int = SURE, whole: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, sure: int = SURE) -> DataFrame:
     """df with text without its repeated lines, and __n_lines and __n_removed.
 
-    whole: every run of SURE words that occurs earlier goes, wherever that is; else what the first places of
-    fingerprints show.
-
-    Lines are compared without the white space at their ends. A null or empty text is one empty line and stays (null
-    becomes empty). Rows of one key count as one document and are treated alike, so a row repeated in full does not
-    delete its twin; a null key is the first of all. A document all of whose lines are repeats gets an empty text; the
-    row stays. An empty table gives an empty one. Other columns pass through.
+    Every line goes that lies in a run of lines of SURE words or more which also starts earlier, in the order of key
+    (null first), hash of the text and line. Lines are compared without the white space at their ends. A null or empty
+    text is one empty line and stays (null becomes empty). Rows equal in key and text are one row for this, so one
+    repeated in full does not delete its twin; rows of one key, or of no key, with different texts are rows of their
+    own. A document all of whose lines are repeats gets an empty text; the row stays. An empty table gives an empty
+    one. Other columns pass through, whatever their names; columns named __n_lines and __n_removed are replaced.
     """
-    small_batches(df.sparkSession)
-    own = df.drop("__n_lines", "__n_removed", "__k", "__t", "__at", "__to", "__x")
-    source = own.select(F.col(f"`{key}`").alias("k"), text_or_empty(f"`{text}`").alias("t"))
-    found = _occurrences(source, least, sure, whole)
-    # a first position for each fingerprint: combined on the map side, so a frequent line is a row a task
-    first = found.groupBy("fp").agg(F.min(F.struct("k", "at", "to", "before", "after")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("fp").alias("fp_"), "first")
-    pairs = found.join(first, found["fp"] == first["fp_"]).where(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("at") == F.col("first.at"))))
-    same = lambda a, b: F.coalesce(  # noqa: E731  length of the common start of two lists
-        F.nullif(F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False), F.lit(0)) - 1, F.least(F.size(a), F.size(b))
-    ).cast("int")
-    matched = pairs.select("k", (F.col("at") - same(F.col("before"), F.col("first.before"))).alias("lo"), (F.col("to") + same(F.col("after"), F.col("first.after"))).alias("hi"))
-    per_doc = matched.groupBy("k").agg(F.collect_list("lo").alias("__at"), F.collect_list("hi").alias("__to")).withColumnRenamed("k", "__k")
-    joined = own.join(per_doc, F.col(f"`{key}`").eqNullSafe(F.col("__k")), "left")
+    spark = df.sparkSession
+    small_batches(spark)
+    own = df.drop("__n_lines", "__n_removed")
+    h = F.xxhash64(text_or_empty(f"`{text}`"))
+    lines = Stored(_lines(own.select(F.col(f"`{key}`").alias("k"), h.alias("h"), text_or_empty(f"`{text}`").alias("t")), least, sure), "lines").df
+    # counts are combined on the map side, so a frequent line is a row a task; the join after them has one row a key on its side
+    prints = lines.select("k", "h", F.explode(F.arrays_zip("fp", "at", "to")).alias("x")).select("k", "h", F.col("x.fp").alias("fp"), F.struct("x.at", "x.to").alias("mark"))
+    again = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    marks = prints.join(again, "fp").groupBy("k", "h").agg(F.collect_set("mark").alias("marks")).withColumnsRenamed({"k": "mk", "h": "mh"})
+    marked = lines.dropDuplicates(["k", "h"]).join(marks, F.col("k").eqNullSafe(F.col("mk")) & (F.col("h") == F.col("mh"))).select("k", "h", "hashes", "words", "marks")
+    runs = Stored(_runs(marked, sure), "runs").df
+    first = runs.groupBy("a", "b").agg(F.min(F.struct("k", "h", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
+    later = runs.join(first, ["a", "b"]).where(~F.struct("k", "h", "lo").eqNullSafe(F.col("first")))
+    gone = later.groupBy("k", "h").agg(F.collect_list("lo").alias("__at"), F.collect_list("hi").alias("__to")).withColumnsRenamed({"k": "__gk", "h": "__gh"})
     at = own.columns.index(text)
-    columns = [(text_or_empty(f"`{c}`") if k == at else F.col(f"`{c}`")).alias(f"__c{k}") for k, c in enumerate(own.columns)]
-    made = _rebuilt(joined.select(*columns, "__at", "__to"), at)
+    named = own.select(*[(text_or_empty(f"`{c}`") if k == at else F.col(f"`{c}`")).alias(f"__c{k}") for k, c in enumerate(own.columns)], h.alias("__h"))
+    own_key = F.col(f"__c{own.columns.index(key)}")
+    joined = named.join(gone, own_key.eqNullSafe(F.col("__gk")) & (F.col("__h") == F.col("__gh")), "left")
+    made = _rebuilt(joined.select(*[f"__c{k}" for k in range(len(own.columns))], "__at", "__to"), at)
     return made.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(own.columns)], F.col("n_lines").alias("__n_lines"), F.col("n_removed").alias("__n_removed"))
 
 

@@ -3,33 +3,35 @@ import random
 from sparkloom.llm import line_dedup as L
 
 
-def brute(docs, least=L.LEAST, sure=L.SURE):
-    """The kept lines of (key, text) rows by following each fingerprint to its first place."""
-    seen, prints = {}, {}
+def in_earlier_runs(docs, sure=L.SURE):
+    """The numbers of the lines that lie in any run of SURE words that starts earlier in the order of (key, line)."""
+    seen, out = set(), {}
     for key, text in sorted(docs):
-        prints[key] = (text.split("\n"), [x.strip() for x in text.split("\n")], L.fingerprints(text, least, sure)[1])
-        for n, (h, _, _) in enumerate(prints[key][2]):
-            seen.setdefault(h, (key, n))
-    out = {}
-    for key, (lines, own, found) in prints.items():
-        gone = set()
-        for n, (h, i, e) in enumerate(found):
-            first, m = seen[h]
-            if (first, m) == (key, n):
-                continue
-            _, other, theirs = prints[first]
-            j, f = theirs[m][1:]
-            floor, floor2 = (found[n - 1][1] + 1 if n else 0), (theirs[m - 1][1] + 1 if m else 0)
-            roof, roof2 = (max(e + 1, found[n + 1][2]) if n + 1 < len(found) else len(own)), (max(f + 1, theirs[m + 1][2]) if m + 1 < len(theirs) else len(other))
-            while i > floor and j > floor2 and own[i - 1] == other[j - 1]:
-                i, j = i - 1, j - 1
-            while e + 1 < roof and f + 1 < roof2 and own[e + 1] == other[f + 1]:
-                e, f = e + 1, f + 1
-            gone.update(range(i, e + 1))
-        out[key] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+        own, gone = [x.strip() for x in text.split("\n")], set()
+        for i in range(len(own)):
+            total = 0
+            for j in range(i, len(own)):
+                total += len(own[j].split())
+                if total >= sure:
+                    run = tuple(own[i : j + 1])
+                    if run in seen:
+                        gone.update(range(i, j + 1))
+                    else:
+                        seen.add(run)
+        out[key] = gone
     return out
 
 
+def brute(docs, sure=L.SURE):
+    """The kept lines of (key, text) rows; shares nothing with the operator."""
+    gone = in_earlier_runs(docs, sure)
+    return {k: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[k]) for k, t in docs}
+
+
+def run(spark, docs):
+    return {r["doc_id"]: r["text"] for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()}
+
+
 def test_equals_brute_force(spark, documents, texts):
     want = brute(list(texts.items()))
     got = {r["doc_id"]: r["text"] for r in L.dedup_lines(documents).collect()}
@@ -38,37 +40,28 @@ def test_equals_brute_force(spark, documents, texts):
 
 def test_random_lines_against_brute_force(spark):
     rnd = random.Random(3)
-    pool = [" ".join(rnd.choice("abcdefgh") * 3 for _ in range(rnd.randint(0, 14))) for _ in range(25)]
+    pool = [" ".join(rnd.choice("abcdefgh") * 3 for _ in range(rnd.randint(0, 7))) for _ in range(25)]
     docs = [(k, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 30)))) for k in range(60)]
-    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
-    assert got == brute(docs)
+    assert run(spark, docs) == brute(docs)
 
 
-def test_runs_of_the_sure_length_are_always_found(spark):
-    rnd = random.Random(5)
-    line = lambda: " ".join(str(rnd.random()) for _ in range(rnd.randint(1, 9)))
-    run = [line() for _ in range(12)]
-    docs = [(k, "\n".join([*[line() for _ in range(6)], *run, *[line() for _ in range(6)]])) for k in range(5)]
-    got = {r["doc_id"]: r for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
-    assert got[0]["__n_removed"] == 0 and all(9 <= got[k]["__n_removed"] <= 12 for k in range(1, 5))
-    short = [(k, f"{k} here\nfew words\n{k} there") for k in range(4)]
-    assert all(r["__n_removed"] == 0 for r in L.dedup_lines(spark.createDataFrame(short, "doc_id bigint, text string")).collect())
+def test_runs_are_extended_to_the_first_unequal_line_of_any_earlier_copy(spark):
+    rnd = random.Random(1)
+    line = lambda n=5: " ".join(f"{rnd.random():.9f}" for _ in range(n))
+    docs = []
+    for k in range(0, 90, 3):
+        core, mid = [line() for _ in range(4)], [line() for _ in range(3)]
+        docs += [(k, "\n".join(["a only", *core, "z only"])), (k + 1, "\n".join(["b only", *mid, *core])), (k + 2, "\n".join(["c only", *mid, *core]))]
+    got = run(spark, docs)
+    assert got == brute(docs)
+    assert all(got[k + 1].count("\n") == 3 and got[k + 2] == "c only" for k in range(0, 90, 3))
 
 
-def in_earlier_runs(docs, sure=L.SURE):
-    """The numbers of the lines that lie in any run of SURE words that starts earlier in the order of (key, line)."""
-    seen, out = set(), {}
-    for key, text in sorted(docs):
-        own, gone = [x.strip() for x in text.split("\n")], set()
-        for i in range(len(own)):
-            for j in range(i, len(own)):
-                run = tuple(own[i : j + 1])
-                if sum(len(x.split()) for x in run) >= sure:
-                    if run in seen:
-                        gone.update(range(i, j + 1))
-                    seen.add(run)
-        out[key] = gone
-    return out
+def test_rows_of_one_key_or_none_are_rows_of_their_own(spark):
+    run_ = "\n".join(f"a repeated line of words number {n}" for n in range(3))
+    rows = [(1, run_), (7, f"{run_}\nkeep me zero"), (7, f"keep me one\nkeep me two\n{run_}"), (None, f"none is first\n{run_}"), (None, "another of none"), (9, run_), (9, run_)]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(0, "another of none"), (0, f"none is first\n{run_}"), (1, ""), (7, "keep me one\nkeep me two"), (7, "keep me zero"), (9, ""), (9, "")]
 
 
 def test_all_earlier_runs_go(spark):
@@ -80,13 +73,7 @@ def test_all_earlier_runs_go(spark):
         docs += [(k, h), (k + 1, "\n".join([line(7), h, s, t, line(6)])), (k + 2, "\n".join([line(9), h, s, t, line(5)]))]
     pool = [line(rnd.randint(1, 14)) for _ in range(30)]
     docs += [(k, "\n".join(rnd.sample(pool, rnd.randint(1, 20)))) for k in range(1000, 1200)]
-    # no line is twice in a document, so a line is what stays of it
-    first, runs = brute(docs), in_earlier_runs(docs)
-    want = {k: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in runs[k] and x in first[k].split("\n")) for k, t in docs}
-    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
-    assert {r["doc_id"]: r["text"] for r in L.dedup_lines(df, whole=True).collect()} == want
-    assert sum(want[k] != first[k] for k in range(2, 150, 3)) > 5 and sum(want[k] != first[k] for k in range(1000, 1200)) > 0
-    assert {r["doc_id"]: r["text"] for r in L.dedup_lines(df).collect()} == first
+    assert run(spark, docs) == brute(docs)
 
 
 def test_edge_cases(spark, edge):
