@@ -113,7 +113,7 @@ def _emitted(source: DataFrame, buckets: int) -> DataFrame:
             ab = np.frombuffer(b"".join(blake2b(x.tobytes(), digest_size=16).digest() for x in held), np.int64).reshape(-1, 2)
             k = pa.concat_arrays(keys)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(rows, -1 - batch % buckets, np.int32)), pa.array(np.full(rows, batch)), pa.nulls(rows, pa.binary()), pa.array(np.arange(rows, dtype=np.int32)), k, pa.array(size), pa.array(ab[:, 0]), pa.array(ab[:, 1])],
+                [pa.array(np.full(rows, -1 - (part + made) % buckets, np.int32)), pa.array(np.full(rows, batch)), pa.nulls(rows, pa.binary()), pa.array(np.arange(rows, dtype=np.int32)), k, pa.array(size), pa.array(ab[:, 0]), pa.array(ab[:, 1])],
                 names=["bucket", "batch", "data", "idx", "k", "n", "a", "b"],
             )
             ok = np.repeat(np.concatenate(linkable), size)
