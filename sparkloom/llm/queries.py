@@ -32,7 +32,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return mixing.shares(table(spark, sf_dir, "documents"))
 
 
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_mixing": mixing.ORACLE_SQL,
     "op8_perspectives": chat.ORACLE_SQL,
     "op10_jaccard_join": jaccard_join.ORACLE_SQL,
 }
