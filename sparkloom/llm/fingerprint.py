@@ -1,8 +1,14 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections. DataFrame functions only.
 
-A leaf is a piece of at most PIECE characters of a paragraph (a line); a paragraph's node is the digest of its leaves,
-a section's that of PARAGRAPHS paragraphs, the root that of the sections. Equal roots mean equal texts; where two trees
-differ, the leaves that stay equal measure how alike they are, and the paragraphs that differ locate the edit.
+A leaf is a piece of a paragraph (a line), cut by content: behind the first word that ends in one of ENDS
+after LEAST characters or more, or after MOST. A paragraph's node is the digest of its leaves; a section ends with a paragraph
+whose digest begins with 0 or 1, or after WIDEST; its node is the digest of its paragraphs, and the root that of the
+sections. As all cuts follow the content, an edit changes the leaves that it touches and the nodes above them, and
+what is moved by it keeps its nodes.
+
+Trees are compared from the root down. Equal roots are equal texts. Else sections that the other tree has as well are
+alike as a whole; in the others paragraphs are looked up, and in paragraphs that differ the leaves. Branches that
+differ locate the edits.
 """
 
 from __future__ import annotations
@@ -10,96 +16,138 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import Stored, text_or_empty
 
-PIECE = 16
-PARAGRAPHS = 8
-#: Hexadecimal digits that the fingerprint keeps of a leaf and of a paragraph.
-KEPT = 6
-#: Documents that one task orders, as far as ids spread evenly, and slices found from quantiles.
+# The cuts of leaves and of sections.
+LEAST, MOST, WIDEST = 10, 64, 32
+ENDS = "adgjmpsvyADGJMPSVY0369.,;:!?)"
+LEAF = rf"(?s).{{{LEAST},{MOST}}}?(?:[{ENDS}][\x20\t\r]{{1,8}}|\z)|.{{1,{MOST}}}"
+SECTION = rf"(?:[2-9a-f][0-9a-f]{{31}};){{0,{WIDEST - 1}}}(?:[0-9a-f]{{32}};)"
+#: Hexadecimal digits that the fingerprint keeps of a node, and digits to the base 64 of a leaf, which its size follows.
+KEPT, LEAF_KEPT = 8, 6
+#: Documents that one task orders at least, and slices that quantiles are taken for, each cut by quantiles once more.
 SLICE_ROWS, SLICES = 1500, 512
 BROADCAST_ROWS = 100_000
 
 
-def tree(text: Column) -> Column:
-    """struct<root, sections, paragraphs array<struct<node, leaves>>> of a text (null: empty)."""
-    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda x: F.md5(x))
+def _bound(x: Column, f) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
 
-    def paragraph(p: Column) -> Column:
-        return F.transform(
-            F.array(leaves(p)),
-            lambda h: F.struct(F.md5(F.array_join(h, "")).alias("node"), F.transform(h, lambda x: F.substring(x, 1, KEPT)).alias("leaves")),
-        )[0]
+def tree(text: Column) -> Column:
+    """struct<root, sections array<struct<node, paragraphs array<struct<node, leaves>>>>> of a text (null: empty)."""
+    digests = lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.concat(F.md5(x), F.char(F.floor(F.length(x) / 3) + 65)))
+    paragraph = lambda p: _bound(digests(p), lambda h: F.struct(F.md5(F.array_join(h, "")).alias("node"), F.transform(h, lambda x: F.concat(F.substring(F.base64(F.unhex(F.substring(x, 1, 10))), 1, LEAF_KEPT), F.substring(x, 33, 1))).alias("leaves")))
 
-    def root(ps: Column) -> Column:
-        groups = F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / PARAGRAPHS).cast("int"))
-        return F.transform(groups, lambda g: F.md5(F.array_join(F.transform(F.slice(ps, g * PARAGRAPHS + 1, PARAGRAPHS), lambda p: p["node"]), "")))
+    def sections(ps: Column) -> Column:
+        nodes = F.concat(F.array_join(F.transform(ps, lambda p: p["node"]), ";"), F.lit(";"))
+        groups = F.regexp_extract_all(nodes, F.lit(SECTION), F.lit(0))
+        starts = F.aggregate(groups, F.array(F.lit(0)), lambda a, g: F.concat(a, F.array(F.element_at(a, -1) + (F.length(g) / 33).cast("int"))))
+        return F.zip_with(groups, F.slice(starts, 1, F.size(groups)), lambda g, at: F.struct(F.md5(g).alias("node"), F.slice(ps, at + 1, (F.length(g) / 33).cast("int")).alias("paragraphs")))
 
-    paragraphs = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), paragraph)
-    # bound once: what follows names the paragraphs several times
-    with_sections = F.transform(F.array(paragraphs), lambda ps: F.struct(root(ps).alias("sections"), ps.alias("paragraphs")))[0]
-    return F.transform(
-        F.array(with_sections),
-        lambda t: F.struct(F.sha2(F.array_join(t["sections"], ""), 256).alias("root"), t["sections"].alias("sections"), t["paragraphs"].alias("paragraphs")),
-    )[0]
+    made = _bound(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), paragraph), sections)
+    return _bound(made, lambda s: F.struct(F.sha2(F.array_join(F.transform(s, lambda x: x["node"]), ""), 256).alias("root"), s.alias("sections")))
 
 
 def fingerprint(t: Column) -> Column:
-    """The tree as a string: the root, then each paragraph's node and its leaves."""
-    return F.concat(t["root"], F.lit("|"), F.array_join(F.transform(t["paragraphs"], lambda p: F.concat(F.substring(p["node"], 1, KEPT), F.lit(":"), F.array_join(p["leaves"], ""))), ","))
+    """The tree as a string: the root, then sections by ;, in each its node and its paragraphs, in each its node and its leaves."""
+    short = lambda x: F.substring(x, 1, KEPT)
+    paragraph = lambda p: F.concat(short(p["node"]), F.lit(":"), F.array_join(p["leaves"], ""))
+    section = lambda s: F.concat(short(s["node"]), F.lit("/"), F.array_join(F.transform(s["paragraphs"], paragraph), ","))
+    return F.concat(t["root"], F.lit("|"), F.array_join(F.transform(t["sections"], section), ";"))
+
+
+def _nodes(x: Column) -> Column:
+    return F.transform(x, lambda y: y["node"])
+
+
+def _besides(own: Column, other: Column) -> Column:
+    """Those of own whose nodes other lacks."""
+    return _bound(F.array_except(_nodes(own), _nodes(other)), lambda new: F.when(F.size(new) == 0, F.slice(own, 1, 0)).otherwise(F.filter(own, lambda x: F.array_contains(new, x["node"]))))
+
+
+def _paragraphs(sections: Column) -> Column:
+    return F.flatten(F.transform(sections, lambda s: s["paragraphs"]))
+
+
+def _weight(leaves: Column) -> Column:
+    """Characters of leaves in threes, as their last characters say."""
+    return F.aggregate(leaves, F.lit(0), lambda a, x: a + F.ascii(F.substring(x, LEAF_KEPT + 1, 1)) - 64)
 
 
-def leaves(t: Column) -> Column:
-    return F.flatten(F.transform(t["paragraphs"], lambda p: p["leaves"]))
+def _leaves(paragraphs: Column) -> Column:
+    return F.flatten(F.transform(paragraphs, lambda p: p["leaves"]))
 
 
-def likeness(root_a: Column, a: Column, root_b: Column, b: Column) -> Column:
-    """1 for equal roots; else the share of leaves that are equal in place, or in any place, whichever is more."""
-    most = F.greatest(F.size(a), F.size(b), F.lit(1))
-    placed = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) / most
-    both = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
-    shared = F.when(both > 0, 2.0 * F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
-    return F.when(root_a == root_b, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(placed, shared)))
+def likeness(a: Column, b: Column) -> Column:
+    """1 for equal roots; else the share of both trees' characters that lie in equal branches or equal leaves.
+
+    Within branches that differ, a leaf that repeats counts once. Different trees are never alike in full.
+    """
+    down = _bound(
+        F.struct(_paragraphs(_besides(a["sections"], b["sections"])).alias("pa"), _paragraphs(_besides(b["sections"], a["sections"])).alias("pb")),
+        lambda x: F.struct(_leaves(_besides(x["pa"], x["pb"])).alias("la"), _leaves(_besides(x["pb"], x["pa"])).alias("lb")),
+    )
+    every = _weight(_leaves(_paragraphs(a["sections"]))) + _weight(_leaves(_paragraphs(b["sections"])))
+    sums = _bound(
+        down,
+        lambda y: F.struct(
+            every.alias("all"),
+            (every - _weight(y["la"]) - _weight(y["lb"])).alias("same"),
+            (_weight(F.array_distinct(y["la"])) + _weight(F.array_distinct(y["lb"]))).alias("differ"),
+            _weight(F.array_intersect(y["la"], y["lb"])).alias("both"),
+        ),
+    )
+    of = lambda z: F.when(z["same"] + z["differ"] > 0, F.least((z["same"] + 2.0 * z["both"]) / (z["same"] + z["differ"]), 1 - 0.5 / (z["all"] + 1.0))).otherwise(0.0)
+    return F.when(a["root"] == b["root"], 1.0).otherwise(_bound(sums, of))
+
+
+def differing_paragraphs(a: Column, b: Column) -> Column:
+    """Numbers (from 0) of the paragraphs of tree a whose branches tree b lacks, found from the root down."""
+    new = _bound(
+        F.struct(_paragraphs(_besides(a["sections"], b["sections"])).alias("pa"), _paragraphs(_besides(b["sections"], a["sections"])).alias("pb")),
+        lambda x: F.array_except(_nodes(x["pa"]), _nodes(x["pb"])),
+    )
+    numbered = lambda ps, n: F.filter(F.transform(ps, lambda p, i: F.when(F.array_contains(n, p["node"]), i)), lambda i: i.isNotNull())
+    return F.when(a["root"] == b["root"], F.array().cast("array<int>")).otherwise(_bound(new, lambda n: numbered(_paragraphs(a["sections"]), n)))
 
 
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text and next_text: the text of the row before in the order of keys (that is the next one downwards; of
     the first row, the last). Rows of equal keys are ordered by a hash of their texts, null keys come first.
 
-    Rows are dealt into slices by quantiles of the key, so that no task orders the whole table; the last row of each
-    slice is sent to the next slice too.
+    Rows are dealt into slices by quantiles of the key, and in each by its own quantiles, so that no task orders the
+    whole table however uneven the keys are; the last row of each slice is sent to the next slice too.
     """
     base = df.select(F.col(f"`{key}`").cast("long").alias("k"), text_or_empty(f"`{text}`").alias("t"))
-    ids = base.select("k")
-    n = ids.count()
-    many = max(1, min(SLICES, n // SLICE_ROWS))
-    inner = max(1, n // (SLICE_ROWS * SLICES))
-    shares = ", ".join(f"{i / many:.9f}D" for i in range(1, many)) or "0.5D"
-    q = ids.agg(F.expr(f"approx_percentile(k, array({shares}), {20 * many})").alias("q"), F.min("k").alias("lo"), F.max("k").alias("hi")).first()
-    edges = sorted(set(q["q"] or [])) if many > 1 else []
-    lo, hi = q["lo"], q["hi"]
-    if edges:
-        cut = F.array(*[F.lit(int(e)).cast("long") for e in edges])
-        outer = F.size(F.filter(cut, lambda e: e <= F.col("k")))
-        from_ = F.element_at(F.array(F.lit(lo).cast("long"), *[F.lit(int(e)).cast("long") for e in edges]), outer + 1)
-        to = F.element_at(F.array(*[F.lit(int(e)).cast("long") for e in edges], F.lit(hi + 1).cast("long")), outer + 1)
-        part = F.least(F.lit(inner - 1), F.floor((F.col("k") - from_) / F.greatest(to - from_, F.lit(1)) * inner)) if inner > 1 else F.lit(0)
-        slice_ = F.when(F.col("k").isNull(), F.lit(-1)).otherwise(outer.cast("long") * inner + part).cast("long")
+    n = base.count()
+    many = max(1, min(SLICES, int((n / SLICE_ROWS) ** 0.5 + 0.999)))
+    at = lambda edges: F.size(F.filter(edges, lambda e: e <= F.col("k"))).cast("long")
+    if many > 1:
+        shares = "array(" + ", ".join(f"{i / many:.9f}D" for i in range(1, many)) + f"), {40 * many}"
+        edges = base.agg(F.expr(f"approx_percentile(k, {shares})").alias("q")).first()["q"] or []
+        outer = at(F.array(*[F.lit(int(e)).cast("long") for e in edges]).cast("array<bigint>"))
+        own = base.where("k is not null").select("k", outer.alias("o")).groupBy("o").agg(F.expr(f"approx_percentile(k, {shares})").alias("q"))
+        # at most SLICES rows of SLICES edges
+        edges_of = F.broadcast(Stored(own, "quantiles").df)
+        sliced = base.withColumn("o_", outer).join(edges_of, F.col("o_") == F.col("o"), "left")
+        dealt = sliced.select("k", "t", F.when(F.col("k").isNull(), F.lit(-1)).otherwise(F.col("o") * many + at(F.col("q"))).cast("long").alias("s"))
     else:
-        slice_ = F.when(F.col("k").isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
-    lasts = ids.withColumn("s", slice_).groupBy("s").agg(F.max("k").alias("last"))
-    in_order = Window.orderBy("s")
-    everything = Window.partitionBy(F.lit(1))
-    first = F.min("s").over(everything)
-    top = F.max("last").over(everything)
-    # where the last row of each slice goes besides: to the next slice, and the very last one to the first slice
-    donors = lasts.select(F.col("last").alias("d"), F.when(F.lead("s").over(in_order).isNull(), first).otherwise(F.lead("s").over(in_order)).alias("to"), (F.lead("s").over(in_order).isNull()).alias("wraps"))
-    if many * inner <= BROADCAST_ROWS:
+        dealt = base.withColumn("s", F.when(F.col("k").isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
+    lasts = Stored(dealt.groupBy("s").agg(F.max("k").alias("last")).withColumn("o", F.floor(F.col("s") / many)), "slices").df
+    # the slice after each: within an outer slice, or the first of the next outer slice (at most SLICES + 1 rows), or the very first
+    outers = lasts.groupBy("o").agg(F.min("s").alias("first"))
+    everywhere = Window.partitionBy(F.lit(1))
+    outers = outers.select("o", F.coalesce(F.lead("first").over(Window.orderBy("o")), F.min("first").over(everywhere)).alias("then"))
+    after = lasts.withColumn("to", F.lead("s").over(Window.partitionBy("o").orderBy("s"))).join(F.broadcast(outers), "o")
+    donors = after.select(F.col("last").alias("d"), F.coalesce("to", "then").alias("to"))
+    if many * many <= BROADCAST_ROWS:
         donors = F.broadcast(donors)
-    dealt = base.withColumn("s", slice_).join(donors, F.col("k").eqNullSafe(F.col("d")) & (F.col("to").isNotNull()), "left")
+    sent = dealt.join(donors, F.col("k").eqNullSafe(F.col("d")), "left")
     own = F.struct(F.col("s").alias("s"), F.lit(False).alias("lent"))
     lent = F.struct(F.col("to").alias("s"), F.lit(True).alias("lent"))
-    rows = dealt.withColumn("x", F.explode(F.when(F.col("to").isNotNull(), F.array(own, lent)).otherwise(F.array(own))))
+    rows = sent.withColumn("x", F.explode(F.when(F.col("to").isNotNull(), F.array(own, lent)).otherwise(F.array(own))))
     w = Window.partitionBy("x.s").orderBy(F.col("x.lent").desc(), F.col("k").asc_nulls_first(), F.xxhash64("t"))
     return rows.withColumn("next_text", F.lag("t").over(w)).where(~F.col("x.lent")).select(F.col("k").alias(key), F.col("t").alias(text), "next_text")
 
@@ -113,25 +161,21 @@ def edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def compare(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of all texts and of their edited forms, and how alike they are.
+    """Fingerprints of all texts and of their edited forms, how alike they are, and differing: the numbers of the
+    paragraphs that the edited text lacks.
 
     A null text counts as empty: its tree has one empty paragraph and no leaves. Rows with equal texts have equal
     fingerprints; an only row is its own next one. An empty table gives an empty one. Texts are hashed whole.
     """
     e = edits(df, key, text)
     t = e.select(key, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col(text)).alias("a"), tree(F.col("edited")).alias("b"), tree(F.col("next_text")).alias("c"))
-    flat = t.select("*", leaves(F.col("a")).alias("la"), leaves(F.col("b")).alias("lb"), leaves(F.col("c")).alias("lc"))
-    return flat.select(
+    return t.select(
         key,
         "n_chars",
         "edited_sha256",
         fingerprint(F.col("a")).alias("fingerprint"),
         fingerprint(F.col("b")).alias("edited_fingerprint"),
-        likeness(F.col("a.root"), F.col("la"), F.col("b.root"), F.col("lb")).alias("near_edited"),
-        likeness(F.col("a.root"), F.col("la"), F.col("c.root"), F.col("lc")).alias("near_next"),
+        likeness(F.col("a"), F.col("b")).alias("near_edited"),
+        likeness(F.col("a"), F.col("c")).alias("near_next"),
+        F.array_join(F.transform(differing_paragraphs(F.col("a"), F.col("b")), lambda i: i.cast("string")), ",").alias("differing"),
     )
-
-
-def differing_paragraphs(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the paragraphs of tree a whose node is not in place in tree b."""
-    return F.filter(F.sequence(F.lit(0), F.size(a["paragraphs"]) - 1), lambda i: ~F.coalesce(F.get(a["paragraphs"], i)["node"] == F.get(b["paragraphs"], i)["node"], F.lit(False)))
