@@ -15,9 +15,10 @@ where distances are below 1, by exact counts over the whole corpus:
    of pivot p only if its distance to p is at most its own least distance + 0.4 and at most RADIUS + 0.2, and into the
    rest only if its least distance is above RADIUS - 0.2: those boundary documents are replicated. Regions are joined
    recursively the same way, and small ones by search over an index of their shingles.
-4. Blocks above LARGE members are divided before any task holds them whole: by pivots, then by the first shingles that
-   members share, by pivots twice more, and at last into chunks by size, of which those pairs meet whose sizes allow a
-   link. A task holds at most 2 * LARGE members (chunks) of a block.
+4. Blocks above LARGE members are divided before any task holds them whole: by the first shingles that members share,
+   then by pivots, each where that halves the work (the sum of squared sizes) at least. What still is larger, as a
+   large group of near copies, is first joined by links to pivots; then only the members outside of its main component
+   are searched for, in chunks, against shares of all members. So a task holds at most 2 * LARGE members or so.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stored, low_bytes, number, packed, release, small_batches, text_or_empty, trim
@@ -282,19 +283,38 @@ def components(links: DataFrame) -> DataFrame:
             return labels.df
 
 
-def distances(sets: list[np.ndarray], n: np.ndarray, pivots: list[np.ndarray], pn: np.ndarray) -> np.ndarray:
-    """Jaccard distances of all sets (their repeated shingles and whole sizes) to all pivots."""
-    held, owner = np.concatenate(pivots), np.repeat(np.arange(len(pivots)), [len(p) for p in pivots])
-    order = np.argsort(held, kind="stable")
-    held, owner = held[order], owner[order]
-    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    lo, hi = np.searchsorted(held, flat, "left"), np.searchsorted(held, flat, "right")
+def index_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles in order, and the number of the set of each."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    return flat[order], owner[order]
+
+
+def found(index: tuple[np.ndarray, np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For all occurrences in the index of all of flat: which of flat, and the numbers of the sets."""
+    lo, hi = np.searchsorted(index[0], flat, "left"), np.searchsorted(index[0], flat, "right")
     m = hi - lo
     at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo, m)
-    same = np.bincount(np.repeat(of, m) * len(pivots) + owner[at], minlength=len(sets) * len(pivots)).reshape(len(sets), len(pivots))
+    return np.repeat(np.arange(len(flat)), m), index[1][at]
+
+
+def distances(sets: list[np.ndarray], n: np.ndarray, pivots: tuple[np.ndarray, np.ndarray], pn: np.ndarray) -> np.ndarray:
+    """Jaccard distances of all sets (their repeated shingles and whole sizes) to all pivots (their index and sizes)."""
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    which, pivot = found(pivots, flat)
+    same = np.bincount(of[which] * len(pn) + pivot, minlength=len(sets) * len(pn)).reshape(len(sets), len(pn))
     return 1 - same / np.maximum(1, n[:, None] + pn[None, :] - same)
 
 
+def separated(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """Numbers of the sets that make good pivots: in order, those farther than RADIUS from all taken before."""
+    d, taken = distances(sets, n, index_of(sets), n), [0]
+    for i in range(1, len(sets)):
+        if d[i, taken].min() > RADIUS:
+            taken.append(i)
+    return np.array(taken)
+
+
 def cells(d: np.ndarray) -> list[np.ndarray]:
     """Numbers of the documents in each pivot's region, with those that the triangle inequality lets link into it, and
     of those in or near the rest, the last; d: distances to the pivots."""
@@ -323,7 +343,7 @@ class Join:
         self.roots[b] = a
 
     def within(self, who: np.ndarray) -> None:
-        """Region by region; a region that its pivots cannot divide, or a small one, by search."""
+        """Region by region; one that its pivots do not divide into less than half the work, or a small one, by search."""
         todo = [who]
         while todo:
             who = todo.pop()
@@ -333,12 +353,13 @@ class Join:
                 self.search(who)
                 continue
             pivots = who[:: max(1, len(who) // PIVOTS)][:PIVOTS]
-            parts = cells(distances([self.sets[i] for i in who], self.n[who], [self.sets[i] for i in pivots], self.n[pivots]))
+            pivots = pivots[separated([self.sets[i] for i in pivots], self.n[pivots])]
+            parts = cells(distances([self.sets[i] for i in who], self.n[who], index_of([self.sets[i] for i in pivots]), self.n[pivots]))
+            if 2 * sum(len(part) ** 2 for part in parts) > len(who) ** 2:
+                self.search(who)
+                continue
             for part in parts:
-                if len(part) <= 0.9 * len(who):
-                    todo.append(who[part])
-                else:
-                    self.search(who[part])
+                todo.append(who[part])
 
     def search(self, who: np.ndarray) -> None:
         """Components by breadth first; each document is looked up in an index of the shingles of those not yet reached."""
@@ -354,16 +375,10 @@ class Join:
                 return
             if index is None or left <= live // 2:
                 there, live = np.flatnonzero(open_), left
-                flat = np.concatenate([self.sets[who[i]] for i in there])
-                owner = np.repeat(there, [len(self.sets[who[i]]) for i in there])
-                order = np.argsort(flat, kind="stable")
-                index = (flat[order], owner[order])
+                flat, owner = index_of([self.sets[who[i]] for i in there])
+                index = (flat, there[owner])
             x = queue.pop()
-            s = self.sets[who[x]]
-            lo, hi = np.searchsorted(index[0], s, "left"), np.searchsorted(index[0], s, "right")
-            m = hi - lo
-            at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo, m)
-            same = np.bincount(index[1][at], minlength=len(who))
+            same = np.bincount(found(index, self.sets[who[x]])[1], minlength=len(who))
             near = np.flatnonzero(open_ & (same > 0) & (NEAR[1] * same >= NEAR[0] * (n[x] + n - same)))
             open_[near] = False
             for j in near.tolist():
@@ -407,69 +422,106 @@ def _joined(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "x bigint, y bigint")
 
 
-def _by_pivots(large: DataFrame, level: int) -> DataFrame:
-    """The regions of large blocks (with size): PIVOTS members of each block are drawn, and go to all its members in shares of LARGE."""
-    draw = F.struct(F.xxhash64("rid", F.lit(level)).alias("h"), "n", "shared")
-    some = large.where(F.pmod(F.xxhash64("rid", F.lit(level)), F.greatest(F.lit(1), F.floor(F.col("size") / (8 * PIVOTS)))) == 0)
-    pivots = some.groupBy("block", "size").agg(F.slice(F.sort_array(F.collect_list(draw)), 1, PIVOTS).alias("p"))
-    shares = F.ceil(F.col("size") / LARGE).cast("int")
-    pivots = pivots.select(F.col("block").alias("pb"), F.col("p.n").alias("pn"), F.col("p.shared").alias("ps"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
-    dealt = large.withColumn("mine", F.pmod(F.hash("rid"), shares))
-    both = dealt.join(pivots, (dealt["block"] == pivots["pb"]) & (dealt["mine"] == pivots["share"]))
-    fields = ["rid", "n", "shared", "first"]
+def _to_pivots(large: DataFrame, level: int) -> DataFrame:
+    """block, rid, regions (numbers of the pivots' regions that it is in or near) and near (rid of the pivots that it
+    links with) of the members of large blocks (with size). PIVOTS members of each block are drawn by a hash, and go to
+    all shares of LARGE members."""
+    h, shares = F.xxhash64("rid", F.lit(level)), F.ceil(F.col("size") / LARGE).cast("int")
+    drawn = large.where(F.pmod(h, F.greatest(F.lit(1), F.floor(F.col("size") / (8 * PIVOTS)))) == 0)
+    pivots = drawn.withColumn("o", F.row_number().over(Window.partitionBy("block").orderBy(h, "rid"))).where(F.col("o") <= PIVOTS)
+    rows = pivots.select("block", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.lit(0).alias("role"), "rid", "n", "shared").unionByName(
+        large.select("block", F.pmod(F.hash("rid"), shares).alias("share"), F.lit(1).alias("role"), "rid", "n", "shared")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sizes, held, index, apart = None, [], [], [], None, None
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                block, row = [], []
-                pivots_of = zip(batch.column(0).to_pylist(), batch.column(5), batch.column(6), strict=True)
-                sets, n = batch.column(3).to_pylist(), batch.column(2).to_numpy()
-                last, held = None, None
-                for i, (b, pn, ps) in enumerate(pivots_of):
-                    if b != last:
-                        last, held = b, ([np.array(p, np.int64) for p in ps.as_py()], np.array(pn.as_py()))
-                    d = distances([np.array(sets[i], np.int64)], n[i : i + 1], *held)
-                    for j, part in enumerate(cells(d)):
-                        if len(part):
-                            row.append(i)
-                            block.append(xxhash.xxh3_64_intdigest(f"{b} {level} {j}".encode()) >> 1)
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *[batch.column(c).take(pa.array(row, pa.int64())) for c in (1, 2, 3, 4)]], names=["block", *fields])
-
-    return both.select("block", *fields, "pn", "ps").mapInArrow(run, "block bigint, rid bigint, n bigint, shared array<bigint>, first array<bigint>")
-
-
-def _by_first(large: DataFrame) -> DataFrame:
-    """A block for each of the first shingles: two members that link share one."""
-    each = large.select(F.col("block").alias("b"), "rid", "n", "shared", "first", F.explode("first").alias("g"))
-    return each.select(F.xxhash64("b", "g").alias("block"), "rid", "n", "shared", "first")
-
-
-def _by_size(large: DataFrame) -> DataFrame:
-    """Chunks of members by size, of LARGE / 2 members or so, each with itself and those later ones whose sizes allow a link."""
-    many = F.ceil(2 * F.col("size") / LARGE).cast("int")
-    # classes of sizes a quarter apart, each cut into chunks by a hash: sizes more than two classes apart cannot link
-    dealt = large.withColumn("z", F.floor(F.log("n") / float(np.log(NEAR[1] / NEAR[0]))).cast("int")).withColumn("cut", F.pmod(F.hash("rid"), many))
-    there = dealt.select("block", "z", "cut").distinct()
-    other = there.select(F.col("block").alias("b"), F.col("z").alias("zz"), F.col("cut").alias("cc"))
-    near = (F.col("zz") - F.col("z")).between(0, 1) & ((F.col("zz") > F.col("z")) | (F.col("cc") >= F.col("cut")))
-    met = there.join(other, (F.col("block") == F.col("b")) & near).withColumn("to", F.xxhash64("b", "z", "cut", "zz", "cc"))
-    both = met.select("block", "z", "cut", "to").union(met.select("block", "zz", "cc", "to")).distinct()
-    return dealt.join(both, ["block", "z", "cut"]).select(F.col("to").alias("block"), "rid", "n", "shared", "first")
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                block, share, role, rid, n = (batch.column(c).to_numpy() for c in range(5))
+                sets = [np.array(x, np.int64) for x in batch.column(5).to_pylist()]
+                cut = np.flatnonzero((block[1:] != block[:-1]) | (share[1:] != share[:-1]) | (role[1:] != role[:-1])) + 1
+                for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(block)], strict=True):
+                    if hi == lo:
+                        continue
+                    if role[lo] == 0:
+                        if now != (block[lo], share[lo]):
+                            now, ids, sizes, held = (block[lo], share[lo]), [], [], []
+                        ids += rid[lo:hi].tolist()
+                        sizes += n[lo:hi].tolist()
+                        held += sets[lo:hi]
+                        index, apart = index_of(held), separated(held, np.array(sizes))
+                        continue
+                    d = distances(sets[lo:hi], n[lo:hi], index, np.array(sizes))
+                    regions: list[list[int]] = [[] for _ in range(lo, hi)]
+                    for j, part in enumerate(cells(d[:, apart])):
+                        for i in part.tolist():
+                            regions[i].append(j)
+                    near = [[ids[j] for j in np.flatnonzero(row <= REACH + 1e-12)] for row in d]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(block[lo:hi]), pa.array(rid[lo:hi]), pa.array(regions, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))], names=["block", "rid", "regions", "near"]
+                    )
+
+    dealt = rows.repartition("block", "share").sortWithinPartitions("block", "share", "role", "rid")
+    return Stored(dealt.mapInArrow(run, "block bigint, rid bigint, regions array<bigint>, near array<bigint>"), "pivots").df
+
+
+def _by_first(large: DataFrame, level: int) -> DataFrame:
+    """block, rid, to: a block for each of the first shingles; two members that link share one."""
+    return large.select("block", "rid", F.explode("first").alias("g")).select("block", "rid", F.xxhash64("block", "g").alias("to"))
+
+
+def _by_pivots(large: DataFrame, level: int) -> DataFrame:
+    """block, rid, to: a block for each pivot's region, and the rest."""
+    near = _to_pivots(large, level).select("block", "rid", F.explode("regions").alias("j"))
+    return near.select("block", "rid", F.xxhash64("block", F.lit(level), "j").alias("to"))
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return members.join(sizes, "block")
+
+
+def _divided(large: DataFrame, to: DataFrame) -> DataFrame:
+    """Members by their new blocks, where these are less than half the work; else by the old one."""
+    to = Stored(to, "divided").df
+    work = to.groupBy("block", "to").agg(F.count(F.lit(1)).alias("m")).groupBy("block").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
+    good = work.join(large.select("block", "size").distinct(), "block").where("2 * work <= size * size").select("block")
+    moved = large.join(to.join(good, "block"), ["block", "rid"]).select(F.col("to").alias("block"), "rid", "n", "shared", "first")
+    return moved.unionByName(large.join(good, "block", "left_anti").select("block", "rid", "n", "shared", "first"))
+
+
+def _main_and_others(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links to pivots; and members by blocks in which a chunk of those outside of a block's main component (that of
+    most members, by links to pivots) meets a share of all."""
+    stars = _to_pivots(large, -1).select("block", F.explode("near").alias("x"), F.col("rid").alias("y")).where("x <> y").select("x", "y")
+    stars = Stored(stars, "stars").df
+    labels = components(stars).withColumnsRenamed({"k": "rid", "c": "label"})
+    named = Stored(large.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "named").df
+    most = named.groupBy("block", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("block").agg(F.max(F.struct("m", "label")).alias("t"), F.sum("m").alias("all"))
+    most = most.select(F.col("block").alias("b"), F.col("t.label").alias("main"), F.ceil((F.col("all") - F.col("t.m")) / LARGE).cast("int").alias("chunks"))
+    both = named.join(most, F.col("block") == F.col("b")).where("chunks > 0").withColumn("shares", F.ceil(F.col("size") / LARGE).cast("int"))
+    all_ = both.withColumn("share", F.pmod(F.hash("rid"), "shares")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    others = both.where("label <> main").withColumn("chunk", F.pmod(F.hash("rid", F.lit(1)), "chunks")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    met = all_.unionByName(others).select(F.xxhash64("block", "share", "chunk").alias("block"), "rid", "n", "shared").dropDuplicates(["block", "rid"])
+    return stars, met
 
 
 def _links(members: DataFrame) -> DataFrame:
     """x, y of members (block, rid, n, shared, first): links enough to join what any links join."""
     out = None
-    steps = [lambda d: _by_pivots(d, 0), _by_first, lambda d: _by_pivots(d, 1), lambda d: _by_pivots(d, 2), _by_size]
-    for step in [*steps, None]:
-        sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = members.join(sizes, "block")
-        part = _joined(sized if step is None else sized.where(F.col("size") <= LARGE))
+    for level, step in enumerate((_by_first, _by_pivots, _by_pivots, None)):
+        sized = _sized(members)
+        part = _joined(sized.where(F.col("size") <= LARGE))
         out = part if out is None else out.unionByName(part)
-        if step is None or not sizes.where(F.col("size") > LARGE).limit(1).count():
+        large = sized.where(F.col("size") > LARGE)
+        if not large.limit(1).count():
             return out
-        members = Stored(step(sized.where(F.col("size") > LARGE)), "regions").df
+        large = Stored(large, "large").df
+        if step is None:
+            stars, met = _main_and_others(large)
+            return out.unionByName(stars).unionByName(_joined(met))
+        members = Stored(_divided(large, step(large, level)), "regions").df
 
 
 def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -65,9 +65,45 @@ def test_equals_brute_force_on_families(spark, family):
     check(spark, family)
 
 
-def test_large_regions_are_divided(spark, family, monkeypatch):
+@pytest.mark.parametrize("steps", ["all", "main component only"])
+def test_large_blocks_are_divided(spark, family, monkeypatch, steps):
+    """Blocks above LARGE go through every step; a task is never given many more members than that."""
     monkeypatch.setattr(J, "LARGE", 3)
+    monkeypatch.setattr(J, "PIVOTS", 3)
+    if steps != "all":
+        monkeypatch.setattr(J, "_divided", lambda large, to: large.drop("size"))
+    given, joined = [], J._joined
+
+    def watched(members):
+        given.append(members.groupBy("block").count().agg({"count": "max"}).first()[0] or 0)
+        return joined(members)
+
+    monkeypatch.setattr(J, "_joined", watched)
     check(spark, family)
+    assert len(given) == 5 and max(given[:4]) <= 3 and 0 < given[4] <= 16
+
+
+def test_voronoi_regions_lose_no_link():
+    rnd = random.Random(3)
+    base = [rnd.sample(range(3000), 120) for _ in range(6)]
+    sets = []
+    for _ in range(400):
+        s = set(rnd.choice(base))
+        for _ in range(rnd.choice([0, 3, 8, 13, 20, 40])):
+            s.discard(rnd.choice(sorted(s)))
+            s.add(rnd.randrange(3000))
+        sets.append(J.np.array(sorted(s), J.np.int64))
+    n = J.np.array([len(s) for s in sets])
+    for drawn in (list(range(10)), list(range(300, 330))):
+        pivots = [drawn[i] for i in J.separated([sets[i] for i in drawn], n[drawn])]
+        parts = J.cells(J.distances(sets, n, J.index_of([sets[i] for i in pivots]), n[pivots]))
+        together = [set(p.tolist()) for p in parts]
+        assert sum(len(p) ** 2 for p in parts) < len(sets) ** 2 / 2
+        for i in range(len(sets)):
+            for j in range(i):
+                same = len(J.np.intersect1d(sets[i], sets[j]))
+                if 5 * same >= 4 * (n[i] + n[j] - same):
+                    assert any(i in p and j in p for p in together)
 
 
 def test_edge_cases(spark, edge):
