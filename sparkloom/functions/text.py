@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = "[A-Za-z][A-Za-z0-9]*"
-HUMP = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+#: One token: capitals that no small letter follows, and digits with what they begin; or a word with at most one capital before it.
+TOKEN = "[A-Z]+(?![a-z])(?:[0-9][a-z0-9]*)?|[A-Z]?[a-z][a-z0-9]*"
 
 
 def tokenize(text: Column | str) -> Column:
-    """Lower-case code tokens in order: words of letters and digits, split at camel humps; repeats stay."""
+    """Lower-case code tokens in order: words of letters and digits, split at camel humps; repeats stay.
+
+    One pattern finds the pieces themselves, so a text is gone through once.
+    """
     text = F.col(text) if isinstance(text, str) else text
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.transform(F.split(w, HUMP), F.lower)))
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
 
 
 def last_segment(name: Column | str) -> Column:

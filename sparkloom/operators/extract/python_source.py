@@ -11,7 +11,7 @@ from .rows import Out, sha
 
 # What marks a comment, what looks like SQL, and names that map a class to a table.
 MARKS = re.compile(r"#+\s*(NOTE|WHY|HACK|XXX|TODO|FIXME|IMPORTANT)\b", re.IGNORECASE)
-SQL_LIKE = r"(?i)(create\s+table|insert\s+into|delete\s+from|update\s+\S+\s+set|select\s.+\sfrom)"
+SQL_LIKE = r"(?i)\b(create\s+table|insert\s+into|delete\s+from|update\s+\w+\s+set|select\b[\s\S]*?\bfrom)\b"
 TABLE_NAMES = ("__tablename__", "db_table")
 _SQL = re.compile(SQL_LIKE, re.DOTALL)
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)

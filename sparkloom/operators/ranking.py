@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..storage import cut
 
 K1, B = 1.5, 0.75
 RRF_K, DEPTH, POOL = 10, 50, 20
@@ -22,8 +23,7 @@ WEIGHTS = (3.0, 0.5, 0.5)
 
 def query_tokens(query: str) -> list[str]:
     """The distinct tokens of a query, by the rule of functions.text.tokenize."""
-    words = re.findall(X.WORD, query)
-    return sorted({t.lower() for w in words for t in re.split(X.HUMP, w) if t})
+    return sorted({t.lower() for t in re.findall(X.TOKEN, query)})
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -36,13 +36,10 @@ def node_text() -> Column:
     return F.concat_ws(" ", "name", "qualified_name", "embed_text", "docstring")
 
 
-def _occurrences(term: str) -> Column:
-    return F.size(F.filter("tokens", lambda x: x == term))
-
-
 class LexicalIndex:
     """BM25 over documents (id, text). Counts of a query's terms are taken in each row, so scoring needs no shuffle;
-    corpus statistics are one row a query, of two numbers and one for each term."""
+    corpus statistics are one row a query, of two numbers and one for each term. Texts are tokenized once a query: the
+    counts of the rows that have a term are written to the shared folder."""
 
     def __init__(self, docs: DataFrame, id_: str = "id", text: str | Column = "text"):
         tokens = X.tokenize(text)
@@ -66,7 +63,13 @@ class LexicalIndex:
         spark = self.docs.sparkSession
         if not terms:
             return spark.createDataFrame([], f"id {self.docs.schema['id'].dataType.simpleString()}, score double")
-        held = self.docs.select("id", F.size("tokens").alias("len"), *[_occurrences(t).alias(f"f{i}") for i, t in enumerate(terms)])
+        hits = lambda ts: F.filter(ts, lambda x: x.isin(terms))
+        # the generator keeps the tokens of a row one expression: no filter is pushed below it, where it would tokenize again
+        once = F.inline(F.transform(F.array("tokens"), lambda ts: F.struct(F.size(ts).alias("len"), hits(ts).alias("hits"))))
+        rows = self.docs.select("id", once)
+        count = lambda term: F.size(F.filter("hits", lambda x: x == term))
+        each = [count(t).alias(f"f{i}") for i, t in enumerate(terms)]
+        held = cut(rows.select("id", "len", *each), "bm25")
         stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"f{i}") > 0).cast("bigint")).alias(f"d{i}") for i in range(len(terms))]).first()
         n, avg = max(1, stats["n"]), stats["avg"] or 1.0
         score = F.lit(0.0)

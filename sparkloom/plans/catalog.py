@@ -464,7 +464,7 @@ def module_names(spark, d):
     return u.select("url", X.module_name(F.regexp_replace("url", "^[a-z]+://", "")).alias("module"))
 
 
-@query("SELECT count(*) AS n FROM documents WHERE regexp_matches(text, '(?i)(create\\s+table|insert\\s+into|delete\\s+from|update\\s+\\S+\\s+set|select\\s.+\\sfrom)')")
+@query("SELECT count(*) AS n FROM documents WHERE regexp_matches(text, '(?i)\\b(create\\s+table|insert\\s+into|delete\\s+from|update\\s+\\w+\\s+set|select\\b[\\s\\S]*?\\bfrom)\\b')")
 def sql_sniff_count(spark, d):
     from ..operators.extract.python_source import SQL_LIKE
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,14 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir; a folder of our own only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     sc = spark.sparkContext
-    if not getattr(sc, "_sparkloom_cuts", None):
-        sc._sparkloom_cuts = tempfile.mkdtemp(prefix="sparkloom-")
-    return sc._sparkloom_cuts
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not re.match(r"local($|\[)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
+    if not getattr(sc, "_sparkloom_dir", None):  # one machine: any folder is shared
+        sc._sparkloom_dir = tempfile.mkdtemp(prefix="sparkloom-")
+    return sc._sparkloom_dir
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

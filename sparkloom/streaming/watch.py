@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,5 +23,5 @@ def watch(spark: SparkSession, path: str, db: str, embedder: Embedder | None = N
         if batch.limit(1).count():
             update(spark, path, db, embedder)
 
-    out = files.writeStream.foreachBatch(job).option("checkpointLocation", f"{shared_dir(spark)}/watch-{abs(hash((path, db)))}")
+    out = files.writeStream.foreachBatch(job).option("checkpointLocation", f"{shared_dir(spark)}/watch-{sha256(f'{path}\0{db}'.encode()).hexdigest()[:32]}")
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime="10 seconds")).start()
