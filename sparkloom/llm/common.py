@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -23,14 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a folder of our own only where it is unset."""
+    """The folder that all executors share (spark.checkpoint.dir); one of our own only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     sc = spark.sparkContext
-    if not getattr(sc, "_sparkloom_dir", None):
-        current = sc._jsc.sc().getCheckpointDir()
-        sc._sparkloom_dir = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="sparkloom-")
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not re.match(r"local($|\[)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
+    if not getattr(sc, "_sparkloom_dir", None):  # one machine: any folder is shared
+        sc._sparkloom_dir = tempfile.mkdtemp(prefix="sparkloom-")
     return sc._sparkloom_dir
 
 
