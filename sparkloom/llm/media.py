@@ -10,6 +10,7 @@ being of one width, both directions run on whole arrays; scans of other files ta
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import small_batches, text_or_empty, trim
 
 # Bytes of a unit, coefficients used of a block, the bands, and limits of the format.
 UNIT, USED, BANDS, MAX_ROWS, MAX_RUN = 576, 48, ((1, 24), (25, 48)), 4095, 32767
@@ -395,7 +396,8 @@ def store(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 
 def read(df: DataFrame, key: str = "doc_id", tensors: bool = True) -> DataFrame:
-    """df's key, n_bytes and media with payload, height, width, rgb (row by row; null without tensors) and feature.
+    """df's key, n_bytes and media with payload, height, width, rgb (row by row; null without tensors), rgb_sha256 (of
+    the tensor, either way) and feature.
 
     feature: width, height, and each channel's mean and standard deviation over the tensor. A null medium, or bytes
     that are no progressive JPEG file, raise: a stored form that cannot be read is lost data.
@@ -415,13 +417,14 @@ def read(df: DataFrame, key: str = "doc_id", tensors: bool = True) -> DataFrame:
                     squares = np.array([np.dot(np.bincount(flat[:, c], minlength=256), np.arange(256) ** 2) for c in range(3)])
                     mean, var = total / n, np.maximum(0, squares / n - (total / n) ** 2)
                     feature = f"{image.width}x{image.height};" + ",".join(f"{m:.3f}" for m in mean) + ";" + ",".join(f"{v:.3f}" for v in np.sqrt(var))
-                    rows.append((image.payload() if image.comment.startswith(b"bytes ") else None, image.height, image.width, rgb.tobytes() if tensors else None, feature))
+                    rows.append((image.payload() if image.comment.startswith(b"bytes ") else None, image.height, image.width, rgb.tobytes() if tensors else None, hashlib.sha256(rgb).hexdigest(), feature))
                 cols = list(zip(*rows, strict=True))
-                extra = [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], *extra], names=[key, "n_bytes", "media", "payload", "height", "width", "rgb", "feature"])
+                extra = [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], *extra], names=[key, "n_bytes", "media", "payload", "height", "width", "rgb", "rgb_sha256", "feature"])
+        trim()
 
     source = df.select(key, "n_bytes", "media")
-    return source.mapInArrow(run, f"`{key}` {source.dtypes[0][1]}, n_bytes bigint, media binary, payload binary, height int, width int, rgb binary, feature string")
+    return source.mapInArrow(run, f"`{key}` {source.dtypes[0][1]}, n_bytes bigint, media binary, payload binary, height int, width int, rgb binary, rgb_sha256 string, feature string")
 
 
 def report(media: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -434,4 +437,7 @@ def report(media: DataFrame, key: str = "doc_id") -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "height",
+        "width",
+        "rgb_sha256",
     )
