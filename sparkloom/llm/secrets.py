@@ -2,9 +2,12 @@
 
 A token of 20 or more characters of the alphabets below is tested for what random strings of its encoding show:
 uniform use of the alphabet (chi-squared), as many runs above and below the middle of the alphabet as chance gives,
-and no correlation of neighbours. The three are joined to one p-value. Within each length class, Benjamini and
-Hochberg's procedure over all tokens of the corpus then rejects randomness for tokens that are text, names or paths,
-at a stated share of false rejections; the tokens that it leaves are reported as kind `random`.
+and no correlation of neighbours. The three are joined to one score, the lower the more random.
+
+What is controlled is the share of false ones among the tokens reported as kind `random`, by length class. What
+ordinary text scores is learnt from decoys: for each token, a stretch of the same length of the words around it, joined
+in the token's own style (as they are, in camel case, or by underscores). A class reports tokens up to the greatest
+score at which (1 + decoys so far) / (tokens so far) is at most the wanted share; with too few tokens it reports none.
 """
 
 from __future__ import annotations
@@ -28,9 +31,9 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 KINDS = ("assign", "access", "hex", "random")
-#: Share of random tokens among those that lose the name random.
-FALSE_DISCOVERIES = 0.01
-#: p-values are held as steps of a tenth of a decade down to 1e-60, so that their counts stay few at any size.
+#: Share of ordinary text among the tokens that are reported as random.
+FALSE_DISCOVERIES = 0.05
+#: Scores are held as steps of a tenth of a decade down to 1e-60, so that their counts stay few at any size.
 STEPS, DEEPEST = 10, 600
 CHUNK = 256
 
@@ -40,17 +43,14 @@ def _total(a: Column) -> Column:
 
 
 def starts(gaps: Column, matches: Column) -> Column:
-    """Code-point positions of matches, from what lies between them; sums go by chunks, so long texts stay linear."""
+    """Code-point positions of matches, from what lies between them; sums go by chunks, so long texts stay near linear."""
     n = F.size(matches)
     steps = F.zip_with(F.slice(gaps, 1, n), matches, lambda g, m: F.length(g) + F.length(m))
     chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda k: F.slice(steps, k * CHUNK + 1, CHUNK))
-    sums = F.transform(chunks, _total)
-    before = F.flatten(
-        F.transform(
-            chunks,
-            lambda c, k: F.transform(c, lambda _, i: _total(F.slice(sums, 1, k)) + _total(F.slice(c, 1, i))),
-        )
-    )
+    # what lies before each chunk is summed once a chunk
+    bases = lambda sums: F.transform(sums, lambda _, k: _total(F.slice(sums, 1, k)))
+    based = F.element_at(F.transform(F.array(F.transform(chunks, _total)), bases), 1)
+    before = F.flatten(F.zip_with(chunks, based, lambda c, at: F.transform(c, lambda _, i: at + _total(F.slice(c, 1, i)))))
     return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.zip_with(before, F.slice(gaps, 1, n), lambda b, g: b + F.length(g)))
 
 
@@ -85,7 +85,7 @@ def encoding(token: Column) -> Column:
 
 
 def randomness_step(token: Column) -> Column:
-    """-10 log10 of the battery's p-value, rounded down: 0 for what looks random, more for what does not."""
+    """A score in tenths of a decade, rounded down: 0 for what looks random, more for what does not."""
     kind = encoding(token)
     raw = F.regexp_replace(token, "=+$", "")
     s = F.when(kind == "hex", F.lower(raw)).otherwise(F.translate(raw, "-_", "+/"))
@@ -120,22 +120,42 @@ def length_class(n: Column) -> Column:
     return F.floor(2 * F.log2(n.cast("double"))).cast("int")
 
 
-def thresholds(tokens: DataFrame, false_discoveries: float = FALSE_DISCOVERIES) -> dict[int, int]:
-    """The least step at which each length class of tokens (class, step) loses the name random.
+def decoys(text: Column, spans: Column) -> Column:
+    """For each span of a token (start, end, token) a stretch of the text's words, as long and in the token's style; null
+    where the words are too few."""
+    words = F.regexp_extract_all(F.regexp_replace(text, TOKEN, " "), F.lit("[A-Za-z]{2,}"), F.lit(0))
+
+    def of(w: Column) -> Column:
+        camel = F.array_join(F.transform(w, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1000))), "")
+        styles = F.struct(camel.alias("camel"), F.array_join(w, "_").alias("under"), F.lower(camel).alias("plain"))
+
+        def one(s: Column, st: Column) -> Column:
+            n = s["end"] - s["start"]
+            source = F.when(s["token"].rlike("[_/+=-]"), st["under"]).when(s["token"].rlike("[A-Z0-9]"), st["camel"]).otherwise(st["plain"])
+            room = F.length(source) - n
+            return F.when(room >= 0, F.substring(source, F.pmod(s["start"] * 31, F.greatest(room, F.lit(0)) + 1) + 1, n))
+
+        return F.element_at(F.transform(F.array(styles), lambda st: F.transform(spans, lambda s: one(s, st))), 1)
+
+    return F.when(F.size(spans) == 0, F.array().cast("array<string>")).otherwise(F.element_at(F.transform(F.array(words), of), 1))
+
+
+def thresholds(scored: DataFrame, false_discoveries: float = FALSE_DISCOVERIES) -> dict[int, int]:
+    """For each length class of (class, step, decoy) the greatest step up to which tokens are reported; -1: none are.
 
-    Counts by class and step come to the driver: at most 64 classes of 601 steps whatever the corpus holds.
+    Counts by class and step come to the driver: at most 64 classes of twice 601 steps whatever the corpus holds.
     """
-    counts: dict[int, dict[int, int]] = {}
-    for row in tokens.groupBy("class", "step").count().collect():
-        counts.setdefault(row["class"], {})[row["step"]] = row["count"]
+    counts: dict[int, dict[int, list[int]]] = {}
+    for row in scored.where("step is not null").groupBy("class", "step", "decoy").count().collect():
+        counts.setdefault(row["class"], {}).setdefault(row["step"], [0, 0])[row["decoy"]] += row["count"]
     out = {}
     for name, steps in counts.items():
-        m, k, best = sum(steps.values()), 0, DEEPEST + 1
-        for step in sorted(steps, reverse=True):
-            k += steps[step]
-            if 10 ** (-step / STEPS) <= false_discoveries * k / m:
-                best = step
-        out[name] = best
+        own = false = 0
+        out[name] = -1
+        for step in sorted(steps):
+            own, false = own + steps[step][0], false + steps[step][1]
+            if own and (1 + false) / own <= false_discoveries:
+                out[name] = step
     return out
 
 
@@ -156,10 +176,13 @@ def scan(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",),
     def kind(spans: Column, no: int) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), F.lit(KINDS[no]).alias("kind"), s["end"].alias("end")))
 
-    tokens = F.transform(
-        _spans(F.col("__t"), TOKEN),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), length_class(F.length(s["token"])).alias("class"), randomness_step(s["token"]).alias("step")),
+    spans = _spans(F.col("__t"), TOKEN)
+    scored = lambda ss: F.zip_with(
+        ss,
+        decoys(F.col("__t"), ss),
+        lambda s, d: F.struct(s["start"].alias("start"), s["end"].alias("end"), length_class(s["end"] - s["start"]).alias("class"), randomness_step(s["token"]).alias("step"), F.when(d.isNotNull(), randomness_step(d)).alias("decoy")),
     )
+    tokens = F.element_at(F.transform(F.array(spans), scored), 1)
     found = Stored(
         base.select(
             *keys,
@@ -170,11 +193,12 @@ def scan(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",),
         ),
         "secrets",
     ).df
-    limits = thresholds(found.select(F.inline("tokens")).select("class", "step"), false_discoveries)
-    limit = F.create_map(*[F.lit(x) for kv in (limits or {-1: 0}).items() for x in kv])
+    both = lambda x: F.array(F.struct(x["class"].alias("class"), x["step"].alias("step"), F.lit(0).alias("decoy")), F.struct(x["class"].alias("class"), x["decoy"].alias("step"), F.lit(1).alias("decoy")))
+    limits = thresholds(found.select(F.inline(F.flatten(F.transform("tokens", both)))), false_discoveries)
+    limit = F.create_map(*[F.lit(x) for kv in (limits or {-1: -1}).items() for x in kv])
     empty = F.array().cast("array<struct<start:int,kind_no:int,kind:string,end:int>>")
     fixed = F.array_sort(F.concat(F.coalesce("assign", empty), "access", "hex"))
-    random = kind(F.filter("tokens", lambda x: x["step"] < F.element_at(limit, x["class"])), 3)
+    random = kind(F.filter("tokens", lambda x: x["step"] <= F.element_at(limit, x["class"])), 3)
     return found.withColumn("base", fixed).select(
         *keys,
         "base",

@@ -29,20 +29,31 @@ def test_base_kinds_equal_brute_force(spark, texts):
 
 
 def test_random_tokens_are_told_from_text(spark):
+    """What is reported as random holds few ordinary tokens, at any mixture of the two; with few tokens nothing is."""
     rnd = random.Random(11)
-    secret = [base64.b64encode(rnd.randbytes(30)).decode() for _ in range(60)] + ["".join(rnd.choice("0123456789ABCDEF") for _ in range(40)) for _ in range(60)]
-    plain = ["internationalisation_of_names", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "some/path/to/a/file/in/a/folder", "ABABABABABABABABABABABABABAB", "com_example_service_impl_handler"] * 12
-    rows = [(k, f"see {t} here") for k, t in enumerate(secret + plain)]
-    got = {r["doc_id"]: r["spans"] for r in S.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    hit = [any(s["kind"] == "random" for s in got[k]) for k, _ in rows]
-    assert sum(hit[:120]) >= 110 and sum(hit[120:]) <= 3
-    one = next(k for k in range(120) if hit[k])
-    assert got[one][0]["start"] == 4
+    words = [rnd.choice(["get", "user", "account", "information", "ordinary", "heading", "value", "service", "internal", "of", "names", "common", "handler", "path"]) + rnd.choice(["", "s", "ed", "ing"]) for _ in range(400)]
+
+    def plain():
+        style, own = rnd.randrange(4), rnd.sample(words, 5)
+        joined = (own[0] + "".join(x.title() for x in own[1:])) if style == 0 else "".join(x.title() for x in own) if style == 1 else "_".join(own) if style == 2 else "/".join(own)
+        return joined[: rnd.randint(20, 46)]
+
+    secret = [base64.b64encode(rnd.randbytes(rnd.choice([24, 30, 33]))).decode() for _ in range(400)] + ["".join(rnd.choice("0123456789ABCDEF") for _ in range(40)) for _ in range(200)]
+    text = lambda: " ".join(rnd.choice(words) for _ in range(30))
+    for n in (0, 600, 4000):
+        rows = [(k, f"{text()} {t} {text()}") for k, t in enumerate(secret + [plain() for _ in range(n)])]
+        got = {r["doc_id"]: r["spans"] for r in S.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        hit = [any(s["kind"] == "random" for s in got[k]) for k, _ in rows]
+        right, false = sum(hit[:600]), sum(hit[600:])
+        assert right >= 400 and false <= 0.08 * (right + false), (n, right, false)
+    few = [(1, f"{text()} getUserAccountInformation ThisIsAnOrdinaryHeading {text()}")]
+    assert S.scan(spark.createDataFrame(few, "doc_id bigint, text string")).first()["spans"] == []
 
 
 def test_thresholds_follow_the_procedure(spark):
-    p = spark.createDataFrame([(1, s) for s in [0] * 90 + [50] * 10] + [(2, 3)], "class int, step int")
-    assert S.thresholds(p, 0.01) == {1: 50, 2: S.DEEPEST + 1}
+    rows = [(1, s, 0) for s in [0] * 90 + [7] * 10 + [50] * 30] + [(1, s, 1) for s in [5] * 4 + [50] * 100] + [(2, 3, 0)]
+    scored = spark.createDataFrame([*rows, (1, None, 1)], "class int, step int, decoy int")
+    assert S.thresholds(scored, 0.05) == {1: 7, 2: -1} and S.thresholds(scored, 0.02) == {1: 0, 2: -1}
 
 
 @pytest.mark.parametrize("n", [1, 256, 257, 700])
