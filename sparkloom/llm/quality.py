@@ -1,10 +1,13 @@
 """Quality classifier by co-training of two views.
 
-One view is the text (its words and what its characters are), the other the page's metadata (source, language, size,
-layout). Both are linear models over hashed features, trained on a bounded sample of labelled rows. Over some rounds
-each hands the other the rows of an unlabelled pool of which it is sure: those whose probability, calibrated on a held
-part of the labelled rows, is at least SURE. At the end the two calibrated views are combined on the held part, and
-all documents are scored. Quality and toxicity are two such pairs; a document is kept if it is good and not toxic.
+One view is the text (its words and what its characters and lines are), the other the page's metadata (source, language,
+size). Both are linear models over hashed features, trained on a bounded sample of labelled rows. Over some rounds each
+scores all other rows and hands the other view those of which it is surest: the HANDED surest of each class, of those
+whose probability, calibrated on a held part of the labelled rows, is at least SURE. At the end the two calibrated
+views are combined on the held part, and all documents are scored. Quality and toxicity are two such pairs; a document
+is kept if it is good and not toxic.
+
+Features are made once and written to the shared folder; every round, and the last scoring, reads them from there.
 """
 
 from __future__ import annotations
@@ -17,19 +20,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import Stored, small_batches, text_or_empty, trim
 
-#: Bounds of what is fitted on: labelled rows, and the unlabelled pool.
-LABELLED, POOL = 5000, 5000
+#: Bound of the labelled rows that are fitted on, and of the rows that a view hands over a class and round.
+LABELLED = 8000
 ROUNDS, SURE, HANDED = 3, 0.97, 500
 TEXT_BITS, META_BITS = 16, 12
 MARKS = re.compile(r"[^\w\s]{2,}")
 MARKED = ".,;:!?\"'()*#$%&|"
-CACHE_ENTRIES = 150_000
+#: Lengths of the beginnings of words that are features of their own.
+STARTS = (6, 8)
+CACHE_ENTRIES = 60_000
 HEADS = ("quality", "toxic")
+ROWS = 512
 
 
 class _Slots(dict):
@@ -57,6 +64,10 @@ def text_features(text: str) -> np.ndarray:
     starts = Counter([w.strip(MARKED)[:4] for w in own])
     slots.update(_slots["\1" + x] for x in starts)
     slots.update(_slots[f"\2{min(n, 8).bit_length()}{x}"] for x, n in starts.items() if n > 1)
+    bare = {w.strip(MARKED) for w in own}
+    for size in STARTS:
+        slots.update([_slots["\4" + x] for x in {w[:size] for w in bare if len(w) > size}])
+    lines = text.count("\n") + 1
     count = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     n = max(1, len(text))
     marks = int(count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum())
@@ -68,17 +79,18 @@ def text_features(text: str) -> np.ndarray:
         f"\0unique{_step(len(own) / max(1, len(words)), 10)}",
         f"\0length{int(np.log2(len(words) + 1))}",
         f"\0word{min(20, int(n / max(1, len(words))))}",
+        f"\0lines{int(2 * np.log2(lines))}",
+        f"\0line{int(2 * np.log2(n / lines + 1))}",
     )
     slots.update(_slots[s] for s in style)
     slots.update(_slots["\0" + m] for m in set(MARKS.findall(text)))
-    return np.fromiter(slots, np.int32, len(slots))
+    return np.sort(np.fromiter(slots, np.uint16, len(slots)))
 
 
-def meta_features(source: str | None, lang: str | None, n_chars: int | None, n_lines: int) -> np.ndarray:
-    size = int(np.log2(max(0, n_chars or 0) + 1))
-    line = int(2 * np.log2((n_chars or 0) / n_lines + 1))
-    names = (f"source={source}", f"lang={lang}", f"size={size}", f"lines={int(2 * np.log2(n_lines))}", f"line={line}", f"lang,line={lang},{line}", f"size,line={size},{line}", "bias")
-    return np.array(sorted({zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << META_BITS) - 1) for x in names}), np.int32)
+def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+    size = int(2 * np.log2(max(0, n_chars or 0) + 1))
+    names = (f"source={source}", f"lang={lang}", f"size={size}", f"lang,size={lang},{size}", f"source,lang={source},{lang}", f"source,size={source},{size // 2}", "bias")
+    return np.array(sorted({zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << META_BITS) - 1) for x in names}), np.uint16)
 
 
 class Rows:
@@ -174,122 +186,171 @@ class Head:
         return _sigmoid(self.join[0] * a + self.join[1] * b + self.join[2])
 
 
-def cotrain(y: np.ndarray, held: np.ndarray, pool: tuple[list[np.ndarray], list[np.ndarray]], raw: tuple[list[np.ndarray], list[np.ndarray]], rounds: int = ROUNDS) -> Head:
-    """held: labelled rows that only calibrate. raw and pool: features of the labelled rows and of the others, by view."""
-    dims = (1 << TEXT_BITS, 1 << META_BITS)
-    train = np.flatnonzero(~held)
-    sets = [([raw[v][i] for i in train], list(y[train])) for v in (0, 1)]
-    models: list[Linear | None] = [None, None]
-    left = np.arange(len(pool[0]))
-    pools = (Rows(pool[0]), Rows(pool[1]))
-    checks = (Rows([raw[0][i] for i in np.flatnonzero(held)]), Rows([raw[1][i] for i in np.flatnonzero(held)]))
-    for r in range(rounds + 1):
-        for v in (0, 1):
-            model = fit(Rows(sets[v][0]), np.array(sets[v][1], float), dims[v], models[v], newton=8 if r == 0 else 3)
-            scale, shift = logistic(model.logit(checks[v])[:, None], y[held])
+class Cotraining:
+    """The two views of one head; held: labelled rows that only calibrate; raw: features of the labelled rows by view."""
+
+    def __init__(self, y: np.ndarray, held: np.ndarray, raw: tuple[list[np.ndarray], list[np.ndarray]]):
+        train = np.flatnonzero(~held)
+        self.y, self.held = y, held
+        self.sets = [([raw[v][i] for i in train], list(y[train])) for v in (0, 1)]
+        self.checks = [Rows([raw[v][i] for i in np.flatnonzero(held)]) for v in (0, 1)]
+        self.models: list[Linear | None] = [None, None]
+
+    def fit(self) -> None:
+        for v, dims in enumerate((1 << TEXT_BITS, 1 << META_BITS)):
+            model = fit(Rows(self.sets[v][0]), np.array(self.sets[v][1], float), dims, self.models[v], newton=3 if self.models[v] else 8)
+            scale, shift = logistic(model.logit(self.checks[v])[:, None], self.y[self.held])
             model.scale, model.shift = float(max(scale, 0.0)), float(shift)
-            models[v] = model
-        if r == rounds or not len(left):
-            break
-        gone = np.zeros(len(pool[0]), bool)
-        for v in (0, 1):
-            p = _sigmoid(models[v].calibrated(pools[v]))
-            for label, sure in ((1, p), (0, 1 - p)):
-                best = left[np.argsort(-sure[left], kind="stable")][:HANDED]
-                best = best[sure[best] >= SURE]
-                sets[1 - v][0].extend(pool[1 - v][i] for i in best)
-                sets[1 - v][1].extend([label] * len(best))
-                gone[best] = True
-        left = left[~gone[left]]
-    both = np.column_stack([models[v].calibrated(checks[v]) for v in (0, 1)])
-    join = logistic(both, y[held])
-    if join[1] < 0:  # a view that would count against itself has nothing to say
-        join = np.array([*logistic(both[:, :1], y[held]), 0.0])[[0, 2, 1]]
-    return Head(models[0], models[1], join)
-
-
-def _inputs(df: DataFrame, key: str, *more: str) -> DataFrame:
+            self.models[v] = model
+
+    def hand(self, view: int, label: int, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Rows (both views' features) that one view is sure of, to the other one."""
+        self.sets[1 - view][0].extend(x[1 - view] for x in rows)
+        self.sets[1 - view][1].extend([label] * len(rows))
+
+    def head(self) -> Head:
+        both = np.column_stack([self.models[v].calibrated(self.checks[v]) for v in (0, 1)])
+        join = logistic(both, self.y[self.held])
+        if join[1] < 0:  # a view that would count against itself has nothing to say
+            join = np.array([*logistic(both[:, :1], self.y[self.held]), 0.0])[[0, 2, 1]]
+        return Head(self.models[0], self.models[1], join)
+
+
+class Surest:
+    """The `handed` surest rows, at least `least` sure, by head, view and label of what passes by; equal rows count
+    once, `gone` ones not at all."""
+
+    def __init__(self, models: dict[str, list[Linear]], gone: frozenset[bytes], handed: int = HANDED, least: float = SURE):
+        self.models, self.gone, self.handed, self.least = models, gone, handed, least
+        self.best: dict[tuple[str, int, int], dict[bytes, tuple]] = {}
+
+    def add(self, text: list[np.ndarray], meta: list[np.ndarray]) -> None:
+        digest = [xxhash.xxh3_128_digest(x.tobytes() + b"|" + m.tobytes()) for x, m in zip(text, meta, strict=True)]
+        views = Rows(text), Rows(meta)
+        for name, pair in self.models.items():
+            for v in (0, 1):
+                p = _sigmoid(pair[v].calibrated(views[v]))
+                for label, sure in ((1, p), (0, 1 - p)):
+                    held = self.best.setdefault((name, v, label), {})
+                    order = np.argsort(-sure, kind="stable")[: 2 * self.handed]
+                    for i in order[sure[order] >= self.least].tolist():
+                        if digest[i] not in self.gone:
+                            held[digest[i]] = (float(sure[i]), text[i], meta[i])
+                    if len(held) > 2 * self.handed:
+                        keep = sorted(held, key=lambda d: (-held[d][0], d))[:self.handed]
+                        self.best[name, v, label] = {d: held[d] for d in keep}
+
+    def rows(self) -> Iterator[tuple]:
+        for (name, v, label), held in self.best.items():
+            for d in sorted(held, key=lambda d: (-held[d][0], d))[:self.handed]:
+                yield name, v, label, held[d][0], d, held[d][1].tobytes(), held[d][2].tobytes()
+
+
+def _numbers(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint16) for x in column]
+
+
+def featured(df: DataFrame, key: str = "doc_id", carry: bool = False) -> DataFrame:
+    """__k (the key), __x and __m (features of the text and of the metadata, two bytes each) of every row, as a written
+    table; carry: with the columns of df as __c0, __c1, ..."""
+    small_batches(df.sparkSession)
     has = set(df.columns)
-    column = lambda c, t: (F.col(f"`{c}`") if c in has else F.lit(None)).cast(t).alias(c)
+    column = lambda c: (F.col(f"`{c}`") if c in has else F.lit(None)).cast("string")
     text = text_or_empty()
-    return df.select(F.col(f"`{key}`").alias("k"), text.alias("text"), column("source", "string"), column("lang", "string"), F.length(text).cast("long").alias("n_chars"), *more)
-
+    more = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(df.columns)] if carry else []
+    source = df.select(F.col(f"`{key}`").alias("__k"), *more, text.alias("__t"), column("source").alias("__s"), column("lang").alias("__g"), F.length(text).cast("long").alias("__n"))
+    names = source.columns[:-4]
 
-def _features(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    _, texts, sources, langs, sizes = (c.to_pylist() for c in batch.columns[:5])
-    meta = [meta_features(s, g, n, t.count("\n") + 1) for t, s, g, n in zip(texts, sources, langs, sizes, strict=True)]
-    return [text_features(t) for t in texts], meta
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                texts, sources, langs, sizes = (c.to_pylist() for c in batch.columns[-4:])
+                x = pa.array([text_features(t).tobytes() for t in texts], pa.binary())
+                m = pa.array([meta_features(s, g, n).tobytes() for s, g, n in zip(sources, langs, sizes, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-4], x, m], names=[*names, "__x", "__m"])
+        trim()
 
+    kinds = dict(source.dtypes)
+    return Stored(source.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", __x binary, __m binary"), "features").df
 
-def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int = LABELLED, pool: int = POOL) -> dict[str, Head]:
-    """Fits on at most `labelled` labelled and `pool` unlabelled documents, those with the least hashes of their keys.
 
-    Only their features come to the driver, at most 2^16 numbers a document. Labels that are null count as 0 for
-    toxic and leave the row out for quality; repeated labels count each.
-    """
-    small_batches(df.sparkSession)
-    rank = F.xxhash64("k", F.lit(17))
-    lab = labels.select(F.col(f"`{key}`").alias("k"), F.col("quality").cast("int").alias("quality"), F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic")).where("quality is not null and k is not null")
-    keys = df.select(F.col(f"`{key}`").alias("k")).where("k is not null")
-    # both lists are bounded by the parameters, so they are small enough to broadcast
-    chosen = lab.join(keys.distinct(), "k", "left_semi").orderBy(rank, "k").limit(labelled)
-    others = keys.join(lab.select("k"), "k", "left_anti").distinct().orderBy(rank, "k").limit(pool).selectExpr("k", "cast(null as int) as quality", "cast(null as int) as toxic")
-    picked = df.sparkSession.createDataFrame(chosen.unionByName(others).toPandas().astype(object), "k long, quality double, toxic double")
-    source = _inputs(df, key).join(F.broadcast(picked), "k")
+def _surest(rows: DataFrame, models: dict[str, list[Linear]], gone: frozenset[bytes], handed: int = HANDED, least: float = SURE) -> list:
+    """Of all rows, the `handed` surest by head, view and label: a bounded number from each task, then of those."""
+    shipped = rows.sparkSession.sparkContext.broadcast((models, gone, handed, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Surest(*shipped.value)
         for batch in batches:
-            text, meta = _features(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(5), batch.column(6), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())],
-                names=["k", "quality", "toxic", "text", "meta"],
-            )
-
-    got = source.mapInArrow(run, f"k {source.dtypes[0][1]}, quality double, toxic double, text binary, meta binary").toPandas()
-    got = got.sort_values(["k"], kind="stable", ignore_index=True)
-    known = got[got.quality.notna()].reset_index(drop=True)
-    rest = got[got.quality.isna()]
-    # as bytes: lists of numbers would be objects in the driver's memory
-    numbers = lambda c: [np.frombuffer(x, np.int32) for x in c]
-    raw = (numbers(known.text), numbers(known.meta))
-    free = (numbers(rest.text), numbers(rest.meta))
-    held = np.arange(len(known)) % 4 == 3
-    heads = {}
+            found.add(_numbers(batch.column(0).to_pylist()), _numbers(batch.column(1).to_pylist()))
+        cols = list(zip(*found.rows(), strict=True)) or [[]] * 7
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["head", "view", "label", "sure", "digest", "x", "m"])
+
+    each = rows.select("__x", "__m").mapInArrow(run, "head string, view int, label int, sure double, digest binary, x binary, m binary").dropDuplicates(["head", "view", "label", "digest"])
+    order = Window.partitionBy("head", "view", "label").orderBy(F.desc("sure"), "digest")
+    best = each.withColumn("o", F.row_number().over(order)).where(F.col("o") <= handed).orderBy("head", "view", "label", "o").collect()
+    shipped.unpersist()
+    return best
+
+
+def train(rows: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int = LABELLED, rounds: int = ROUNDS) -> dict[str, Head]:
+    """Fits on at most `labelled` labelled rows of featured(), those with the least hashes of their keys, and on what
+    the views hand each other of all the rest, whatever its size.
+
+    Only the features of these come to the driver. Labels that are null count as 0 for toxic and leave the row out for
+    quality; repeated labels count each.
+    """
+    rank = F.xxhash64("__k", F.lit(17))
+    lab = labels.select(F.col(f"`{key}`").alias("__k"), F.col("quality").cast("double").alias("quality"), F.coalesce(F.col("toxic").cast("double"), F.lit(0.0)).alias("toxic")).where("quality is not null and __k is not null")
+    # bounded by the parameter, so small enough to broadcast
+    chosen = lab.join(rows.select("__k").distinct(), "__k", "left_semi").orderBy(rank, "__k", "quality", "toxic").limit(labelled)
+    picked = rows.select("__k", "__x", "__m").join(F.broadcast(chosen), "__k").orderBy("__k", "quality", "toxic", "__x").collect()
+    raw = (_numbers(r["__x"] for r in picked), _numbers(r["__m"] for r in picked))
+    held = np.arange(len(picked)) % 4 == 3
+    heads, learning = {}, {}
     for name in HEADS:
-        y = known[name].to_numpy(float)
-        if len(known) < 8 or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+        y = np.array([r[name] for r in picked], float)
+        if len(y) < 8 or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
             # nothing to learn from: every document gets the share of the labels, or what lets it pass
             share = y.mean() if len(y) else float(name == "quality")
             share = min(max(share, 0.01), 0.99)
             none = Linear(np.zeros(1 << TEXT_BITS)), Linear(np.zeros(1 << META_BITS))
             heads[name] = Head(*none, np.array([0.0, 0.0, np.log(share / (1 - share))]))
         else:
-            heads[name] = cotrain(y, held, free, raw)
-    return heads
+            learning[name] = Cotraining(y, held, raw)
+    gone = {xxhash.xxh3_128_digest(x.tobytes() + b"|" + m.tobytes()) for x, m in zip(*raw, strict=True)}
+    for r in range(rounds + 1 if learning else 0):
+        for one in learning.values():
+            one.fit()
+        if r == rounds:
+            break
+        best = _surest(rows, {n: one.models for n, one in learning.items()}, frozenset(gone))
+        for name, one in learning.items():
+            for v in (0, 1):
+                for label in (0, 1):
+                    some = [x for x in best if (x["head"], x["view"], x["label"]) == (name, v, label)]
+                    one.hand(v, label, list(zip(_numbers(x["x"] for x in some), _numbers(x["m"] for x in some), strict=True)))
+        gone |= {bytes(x["digest"]) for x in best}
+    return heads | {name: one.head() for name, one in learning.items()}
 
 
-def score(df: DataFrame, heads: dict[str, Head], key: str = "doc_id", carry: bool = False) -> DataFrame:
-    """df's key as k, quality_score and toxic_score of every row (probabilities); carry: all columns of df besides."""
-    source = _inputs(df, key)
-    names = ["k"]
-    if carry:
-        names += [f"__c{i}" for i in range(len(df.columns))]
-        whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-        source = _inputs(df.withColumn("__whole", whole), key, "__whole").select("k", "text", "source", "lang", "n_chars", *[F.col("__whole")[c].alias(f"__c{i}") for i, c in enumerate(df.columns)])
-    shipped = df.sparkSession.sparkContext.broadcast({n: (h.text.w.astype(np.float32), h.text.b, h.meta.w.astype(np.float32), h.meta.b, h) for n, h in heads.items()})
+def score(rows: DataFrame, heads: dict[str, Head]) -> DataFrame:
+    """Rows of featured() with quality_score and toxic_score (probabilities) for their features."""
+    names = [c for c in rows.columns if c not in ("__x", "__m")]
+    shipped = rows.sparkSession.sparkContext.broadcast(heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, meta = _features(batch)
-            out = []
-            for name in HEADS:
-                tw, tb, mw, mb, head = shipped.value[name]
-                a = np.array([tw[x].sum(dtype=np.float64) / np.sqrt(max(1, len(x))) for x in text]) + tb
-                b = np.array([mw[x].sum(dtype=np.float64) / np.sqrt(max(1, len(x))) for x in meta]) + mb
-                out.append(pa.array(head.probability(a, b), pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[5:], *out], names=[*names, "quality_score", "toxic_score"])
-
-    kinds = dict(source.dtypes)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                text, meta = Rows(_numbers(batch.column(len(names)).to_pylist())), Rows(_numbers(batch.column(len(names) + 1).to_pylist()))
+                out = [pa.array(h.probability(h.text.logit(text), h.meta.logit(meta)), pa.float64()) for h in (shipped.value[n] for n in HEADS)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *out], names=[*names, "quality_score", "toxic_score"])
+        trim()
+
+    kinds = dict(rows.dtypes)
+    source = rows.select(*[F.col(n) for n in names], "__x", "__m")
     return source.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", quality_score double, toxic_score double")
 
 
@@ -306,8 +367,8 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", limits: Limi
     own. Repeated rows get equal scores. With labels of one class only, or too few, scores are the labels' share and
     with none all documents are kept. An empty table gives an empty one. Other columns are left out.
     """
-    s = score(df, train(df, labels, key), key)
-    return s.select(F.col("k").alias(key), "quality_score", "toxic_score", _passes(limits).alias("keep"))
+    rows = featured(df, key)
+    return score(rows, train(rows, labels, key)).select(F.col("__k").alias(key), "quality_score", "toxic_score", _passes(limits).alias("keep"))
 
 
 def _passes(limits: Limits | None):
@@ -315,7 +376,8 @@ def _passes(limits: Limits | None):
     return (F.col("quality_score") >= limits.quality) & (F.col("toxic_score") < limits.toxic)
 
 
-def keep(df: DataFrame, heads: dict[str, Head], key: str = "doc_id", limits: Limits | None = None) -> DataFrame:
+def keep(df: DataFrame, labels: DataFrame, key: str = "doc_id", limits: Limits | None = None) -> DataFrame:
     """The rows of df that classify() keeps, with all their columns; no join is needed."""
-    passed = score(df, heads, key, carry=True).where(_passes(limits))
+    rows = featured(df, key, carry=True)
+    passed = score(rows, train(rows, labels, key)).where(_passes(limits))
     return passed.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(df.columns)])
