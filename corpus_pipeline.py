@@ -20,8 +20,7 @@ ORACLE_SQL = None
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. A row of a null doc_id has no label, but is scored like the others."""
-    heads = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.keep(docs, heads).select(*COLUMNS)
+    return quality.keep(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
