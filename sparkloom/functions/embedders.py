@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
+import urllib.request
 import warnings
+from collections.abc import Iterator
 from typing import Protocol
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +46,43 @@ class HashEmbedder:
 
 
 class LocalHttpEmbedder:
-    """A model behind HTTP on this machine; its width is known after the first answer only."""
+    """A model behind HTTP on this machine; its width is known after the first answer only. Executors ask the model on
+    their own machines, one text at a time."""
 
     dim_is_exact = False
+    TIMEOUT_S = 60
 
     def __init__(self, model: str, url: str = "http://127.0.0.1:11434"):
         self.name, self.dim, self.url = f"http-{model}", 0, check_host(url)
 
     def embed(self, df: DataFrame) -> DataFrame:
-        raise RuntimeError("no embedding model is reachable here; use the hash embedder")
+        url, model, timeout = self.url.rstrip("/"), self.name.removeprefix("http-"), self.TIMEOUT_S
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [ask_embedding(url, model, t or "", timeout) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32()))], names=["id", "embedding"])
+
+        out = df.select("id", "text").mapInArrow(run, f"id {dict(df.dtypes)['id']}, embedding array<float>")
+        if not self.dim_is_exact:
+            self.dim, self.dim_is_exact = len(ask_embedding(url, model, "width", timeout)), True
+        return out
+
+
+def ask(url: str, body: dict, timeout: float) -> dict:
+    """The JSON answer to a JSON question."""
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        return json.loads(answer.read())
+
+
+def ask_embedding(url: str, model: str, text: str, timeout: float) -> list[float]:
+    try:
+        return [float(x) for x in ask(f"{url}/api/embeddings", {"model": model, "prompt": text}, timeout)["embedding"]]
+    except OSError as e:
+        raise RuntimeError(f"no embedding model answers at {url} ({e}); start one, or use the hash embedder") from e
+    except (KeyError, TypeError, ValueError) as e:
+        raise RuntimeError(f"what answers at {url} gives no embedding ({e!r}); is {model!r} an embedding model?") from e
 
 
 def check_host(url: str) -> str:

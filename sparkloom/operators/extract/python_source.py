@@ -131,8 +131,27 @@ class _File:
             self.out.edge("DOCUMENTS", id_, owner)
 
 
+def recovered(source: str, most: int = 200) -> tuple[ast.Module | None, str]:
+    """The tree of a source that does not parse, with the lines that keep it from parsing taken out one by one (first
+    for `pass`, then for nothing); and the source without them. Lines keep their numbers. None after `most` lines."""
+    lines, tried = source.split("\n"), set()
+    for _ in range(most):
+        try:
+            return ast.parse("\n".join(lines)), "\n".join(lines)
+        except SyntaxError as e:
+            n = min(max(1, e.lineno or 1), len(lines)) - 1
+        except ValueError:
+            return None, source
+        while n and n in tried and not lines[n].strip():
+            n -= 1
+        indent = lines[n][: len(lines[n]) - len(lines[n].lstrip())]
+        lines[n] = "" if n in tried else f"{indent}pass"
+        tried.add(n)
+    return None, source
+
+
 def extract(path: str, source: str) -> list[dict]:
-    """Rows of one file. A file that does not parse gives its module and a warning."""
+    """Rows of one file. One that does not parse gives a warning and what can be read of it."""
     module = module_name(path)
     out = Out("python", path, scope=module)
     f = _File(source, out, module)
@@ -140,10 +159,14 @@ def extract(path: str, source: str) -> list[dict]:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError) as e:
-        out.node(f.module_id, "module", module.rsplit(".", 1)[-1], module, module, 1, len(f.lines), embed=f"module {module}", digest=sha(source))
         out.add("warning", f"syntax errors in {path}; its graph may be partial ({e})")
-        f.comments(source)
-        return out.rows
+        tree, rest = recovered(source)
+        if tree is None:
+            out.node(f.module_id, "module", module.rsplit(".", 1)[-1], module, module, 1, len(f.lines), embed=f"module {module}", digest=sha(source))
+            f.comments(source)
+            return out.rows
+        f = _File(rest, out, module)
+        f.module_id = f"{path}::{module}"
     doc = (ast.get_docstring(tree, clean=False) or "").strip()
     out.node(f.module_id, "module", module.rsplit(".", 1)[-1], module, module, 1, len(f.lines), "", doc, "", f"module {module}\n{doc}".strip(), sha(source))
     f.walk(tree.body, f.module_id, module, False)

@@ -87,12 +87,17 @@ class LexicalIndex:
 
 def cosine_rank(vectors: DataFrame, query: Sequence[float], k: int = 10, id_: str = "id", vector: str = "embedding") -> DataFrame:
     """The k rows nearest to query by cosine, without a threshold: k rows come even at a score of 0 or less."""
+    return top(cosine_scores(vectors, query, id_, vector), k)
+
+
+def cosine_scores(vectors: DataFrame, query: Sequence[float], id_: str = "id", vector: str = "embedding") -> DataFrame:
+    """(id, score) of all rows."""
     q = [float(x) for x in query]
     length = math.sqrt(sum(x * x for x in q))
     # the literal is one constant of the plan, not an array built for each row
     product = F.aggregate(F.zip_with(F.col(vector), V.literal_vector(q), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     bottom = V.norm(F.col(vector)) * F.lit(length)
-    return top(vectors.select(F.col(id_).alias("id"), (product / F.when(bottom == 0, 1e-9).otherwise(bottom)).alias("score")), k)
+    return vectors.select(F.col(id_).alias("id"), (product / F.when(bottom == 0, 1e-9).otherwise(bottom)).alias("score"))
 
 
 def check_width(vectors: DataFrame, expected: int, vector: str = "embedding") -> DataFrame:
@@ -147,8 +152,9 @@ def reranked(fused: DataFrame, texts: DataFrame, query: str, k: int = 10, pool:
 
 
 def sweep(rankings: DataFrame, grid: DataFrame, k: int = 10) -> DataFrame:
-    """Every configuration (config, signal, weight, rrf_k) over rankings (question, signal, id, rank): (config,
-    question, id, score, rank). One join and one aggregation for the whole grid."""
-    scored = rankings.join(F.broadcast(grid), "signal").where("weight <> 0").groupBy("config", "question", "id").agg(F.sum(F.col("weight") / (F.col("rrf_k") + F.col("rank"))).alias("score"))
+    """Every configuration (config, signal, weight, rrf_k, and depth if there is one) over rankings (question, signal,
+    id, rank): (config, question, id, score, rank). One join and one aggregation for the whole grid."""
+    deep = F.col("rank") <= F.col("depth") if "depth" in grid.columns else F.lit(True)
+    scored = rankings.join(F.broadcast(grid), "signal").where(deep).where("weight <> 0").groupBy("config", "question", "id").agg(F.sum(F.col("weight") / (F.col("rrf_k") + F.col("rank"))).alias("score"))
     w = Window.partitionBy("config", "question").orderBy(F.desc(F.round("score", 10)), "id")
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import resolve
@@ -25,6 +25,12 @@ def _edges(df: DataFrame, kind: str, src: str, dst: str, confidence) -> DataFram
     return df.select(F.lit(kind).alias("type"), F.col(src).alias("src"), F.col(dst).alias("dst"), conf.alias("confidence"))
 
 
+def _place(lang_no: Column, ord_: str, file: str, seq: str) -> Column:
+    """Where a row stands in the order of languages, suffixes, files and what comes first in them: a key to compare by,
+    so that no task has to number all rows."""
+    return F.struct(lang_no.cast("int").alias("lang_no"), F.col(ord_).alias("ord"), F.col(file).alias("file"), F.col(seq).alias("seq"))
+
+
 def _any(pairs: list[tuple[str, tuple[str, ...]]]):
     return reduce(lambda x, y: x | y, [(F.col("lang") == lang) & F.col("kind").isin(*kinds) for lang, kinds in pairs])
 
@@ -72,7 +78,7 @@ def _embedded(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame,
     made = resolve.first_wins(made, ["kind", "qualified_name"], ["file", "ord", "seq"])
     there = nodes.where("kind in ('table', 'column')").select("kind", "qualified_name")
     new = made.join(there, ["kind", "qualified_name"], "left_anti").join(nodes.select("id"), "id", "left_anti")
-    return new, got, nodes.select(*NODE, "place").unionByName(new.withColumn("place", F.lit(1 << 62).cast("bigint") + F.pmod("ord", F.lit(1 << 20))).select(*NODE, "place"))
+    return new, got, nodes.select(*NODE, "place").unionByName(new.withColumn("place", _place(F.lit(len(S.ORDER) + 1), "ord", "file", "seq")).select(*NODE, "place"))
 
 
 def build(spark: SparkSession, root: str, languages: tuple[str, ...] = S.ORDER, resolver: str | None = None) -> Graph:
@@ -83,16 +89,18 @@ def build(spark: SparkSession, root: str, languages: tuple[str, ...] = S.ORDER,
 
 
 def from_files(files: DataFrame, languages: tuple[str, ...] = S.ORDER) -> Graph:
-    rows = cut(S.extract(files, languages), "extracted")
+    return from_rows(cut(S.extract(files, languages), "extracted"))
+
+
+def from_rows(rows: DataFrame) -> Graph:
+    """The graph of extracted rows, of whatever runs they come from."""
     for r in rows.where("tag = 'warning'").select("a").limit(20).collect():
         warnings.warn(r["a"], stacklevel=2)
     # languages in order, then suffixes, files and what comes first in them
     lang_no = F.array_position(F.array(*[F.lit(x) for x in S.ORDER]), F.col("lang"))
-    place = F.struct(lang_no, "ord", "file", "seq")
-    raw = rows.where("tag = 'node'").withColumn("file_path", F.col("file")).withColumn("at", place)
-    once = resolve.first_wins(raw, ["id"], ["at"])
-    order = F.dense_rank().over(_by("at")).cast("bigint")
-    nodes = cut(once.withColumn("place", order), "nodes")
+    place = _place(lang_no, "ord", "file", "seq")
+    raw = rows.where("tag = 'node'").withColumn("file_path", F.col("file")).withColumn("place", place)
+    nodes = cut(resolve.first_wins(raw, ["id"], ["place"]), "nodes")
     keep = resolve.keepers(nodes.where("lang = 'sql'"), ["kind", "qualified_name"], ["place"])
     doubles = keep.where("id <> keeper").select("id")
     nodes = nodes.join(doubles, "id", "left_anti")
@@ -149,11 +157,3 @@ def from_files(files: DataFrame, languages: tuple[str, ...] = S.ORDER) -> Graph:
     kept = resolve.with_endpoints(moved, final_nodes)
     resolver = F.when(F.col("type") == "CALLS", RESOLVER).otherwise("syntax")
     return Graph(final_nodes, kept.withColumn("resolver", resolver).select("type", "src", "dst", "confidence", "resolver"))
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-

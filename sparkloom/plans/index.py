@@ -57,9 +57,9 @@ def _meta(embedder: Embedder, root: str) -> dict[str, str]:
     return {"embedder": embedder.name, "dim": str(embedder.dim), "source": root}
 
 
-def _write(store: Store, graph: Graph, embedder: Embedder, root: str, files: DataFrame, cache: DataFrame | None) -> tuple[int, int]:
+def _write(store: Store, graph: Graph, embedder: Embedder, root: str, files: DataFrame, cache: DataFrame | None, rows: DataFrame) -> tuple[int, int]:
     nodes, reused, computed = embed(graph.nodes, embedder, cache)
-    store.write(Graph(nodes.select(*[F.coalesce(f.name, F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in NODES.fields]), graph.edges), _meta(embedder, root), files)
+    store.write(Graph(nodes.select(*[F.coalesce(f.name, F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in NODES.fields]), graph.edges), _meta(embedder, root), files, rows)
     return reused, computed
 
 
@@ -70,13 +70,17 @@ def index(spark: SparkSession, path: str, db: str, embedder: Embedder | None = N
     cache = cut(cache_of(store.open().nodes), "cache") if use_cache and overwrite and store.exists() else None
     store.create(overwrite)
     files = cut(S.scan(spark, path), "files")
-    reused, computed = _write(store, build.from_files(files), embedder, path, S.digests(files), cache)
+    rows = cut(S.extract(files), "extracted")
+    reused, computed = _write(store, build.from_rows(rows), embedder, path, S.digests(files), cache, rows)
     return Report("indexed", reused + computed, reused, computed)
 
 
 def update(spark: SparkSession, path: str, db: str, embedder: Embedder | None = None) -> Report:
     """indexed (nothing was stored), up-to-date, rebuilt (another embedder or width) or updated. A plain update keeps
-    the embedder that the store names. A source path that is missing raises."""
+    the embedder that the store names. A source path that is missing raises.
+
+    Only added and changed files are parsed: what was extracted from the others is stored, and joined with it anew.
+    """
     store = Store(spark, db)
     files = cut(S.scan(spark, path), "files")
     if not store.exists():
@@ -84,19 +88,31 @@ def update(spark: SparkSession, path: str, db: str, embedder: Embedder | None =
     old, meta = store.open(), store.meta()
     embedder = embedder or get_embedder(meta["embedder"])
     same = embedder.name == meta["embedder"] and str(embedder.dim) == meta["dim"]
-    changes = {r["status"]: r["count"] for r in delta.diff_files(store.files(), S.digests(files)).groupBy("status").count().collect()}
+    diff = cut(delta.diff_files(store.files(), S.digests(files)), "diff")
+    changes = {r["status"]: r["count"] for r in diff.groupBy("status").count().collect()}
     counts = {k: changes.get(k, 0) for k in ("added", "changed", "deleted")}
     if same and not changes:
         return Report("up-to-date", old.nodes.count())
     if not files.limit(1).count():
         store.write(Graph(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)), _meta(embedder, path), spark.createDataFrame([], FILES))
         return Report("updated", **counts, removed=0)
-    graph = build.from_files(files)
+    rows = _rows(store, files, diff)
+    graph = build.from_rows(rows)
     if not same:
-        reused, computed = _write(store, graph, embedder, path, S.digests(files), None)
+        reused, computed = _write(store, graph, embedder, path, S.digests(files), None, rows)
         return Report("rebuilt", reused + computed, reused, computed, **counts)
     # counted before the old version goes
-    rows = {r["action"]: r["count"] for r in delta.row_delta(old.nodes, graph.nodes).groupBy("action").count().collect()}
+    moved = {r["action"]: r["count"] for r in delta.row_delta(old.nodes, graph.nodes).groupBy("action").count().collect()}
     cache = cut(cache_of(old.nodes), "cache")
-    reused, computed = _write(store, graph, embedder, path, S.digests(files), cache)
-    return Report("updated", reused + computed, reused, computed, **counts, kept=rows.get("keep", 0), created=rows.get("create", 0), removed=rows.get("delete", 0))
+    reused, computed = _write(store, graph, embedder, path, S.digests(files), cache, rows)
+    return Report("updated", reused + computed, reused, computed, **counts, kept=moved.get("keep", 0), created=moved.get("create", 0), removed=moved.get("delete", 0))
+
+
+def _rows(store: Store, files: DataFrame, diff: DataFrame) -> DataFrame:
+    """Rows of all files: stored ones of files that are as they were, and new ones of the others."""
+    held = store.rows()
+    if held is None:
+        return cut(S.extract(files), "extracted")
+    new = S.extract(files.join(diff.where("status in ('added', 'changed')").select("path"), "path", "left_semi"))
+    kept = held.join(diff.select(F.col("path").alias("file")), "file", "left_anti")
+    return cut(kept.select(*new.columns).unionByName(new), "extracted")

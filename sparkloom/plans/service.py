@@ -17,7 +17,7 @@ from ..schema import DATA_KINDS, EDGE_TYPES
 from ..sources.store import Store
 
 MODES = ("hybrid", "vector", "lexical", "graph", "rerank")
-MOST_HITS, MOST_MATCHES, MOST_NEIGHBORS, DOC = 100, 25, 200, 500
+MOST_HITS, MOST_MATCHES, MOST_NEIGHBORS, DOC, NEAR_NAMES = 100, 25, 200, 500, 500
 SHOWN = ("id", "kind", "name", "qualified_name", "file_path", "start_line", "end_line", "signature")
 
 
@@ -89,16 +89,20 @@ class GraphService:
         return [r["id"] for r in resolve.resolve_refs(self.graph.nodes, refs).orderBy("rank").select("id").limit(MOST_MATCHES + 1).collect()]
 
     def suggest(self, ref: str, limit: int = 5) -> list[str]:
-        """Qualified names whose last part is close to the reference's, else those that contain it."""
+        """Qualified names whose last part is close to the reference's, else those that contain that part.
+
+        A name can only be close if so many edits change one into the other as two fifths of both lengths; the nearest
+        NEAR_NAMES of those are compared here.
+        """
         last = ref.rsplit(".", 1)[-1].lower()
         names = self.docs.select(F.lower("name").alias("low"), "qualified_name")
-        # names far from it in length cannot be close; the rest are compared here
-        near = names.where((F.length("low") >= len(last) * 3 // 7) & (F.length("low") <= len(last) * 7 // 3 + 1)).groupBy("low").agg(F.max("qualified_name").alias("q")).collect()
+        edits, both = F.levenshtein("low", F.lit(last)), F.length("low") + len(last)
+        near = names.where(edits <= 0.4 * both).groupBy("low").agg(F.max("qualified_name").alias("q")).orderBy(edits / both, "low").limit(NEAR_NAMES).collect()
         by_low = {r["low"]: r["q"] for r in near}
         close = difflib.get_close_matches(last, list(by_low), limit, 0.6)
         if close:
             return [by_low[c] for c in close]
-        found = names.where(F.contains(F.lower("qualified_name"), F.lit(ref.lower()))).orderBy("qualified_name").limit(limit)
+        found = names.where(F.contains(F.lower("qualified_name"), F.lit(last))).orderBy("qualified_name").limit(limit)
         return [r["qualified_name"] for r in found.collect()]
 
     def _one(self, ref: str) -> str:
