@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import delta, graph, impact, intervals, metrics, ranking, resolve
+from ..schema import Graph
+from ..sources import files as sources
 from . import bindings as B
+from . import build, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -610,3 +613,148 @@ def grep_rank(spark, d):
     return intervals.grep_rank(lines, spans, ["idiot", "moron", "worthless"], TOP)
 
 
+# Extraction and the whole build, over a small project in five languages
+
+
+@query(f"SELECT * FROM (VALUES {samples.NODES}) AS t(lang, kind, qualified_name, start_line, end_line, signature, docstring)")
+def extract_nodes(spark, d):
+    rows = sources.extract(samples.files(spark)).where("tag = 'node'")
+    line = lambda c: F.col(c).cast("int").alias(c)
+    return rows.select("lang", "kind", "qualified_name", line("start_line"), line("end_line"), "signature", "docstring")
+
+
+@query(f"SELECT * FROM (VALUES {samples.REFERENCES}) AS t(lang, tag, a, b, own)")
+def extract_references(spark, d):
+    rows = sources.extract(samples.files(spark)).where("tag in ('call', 'base', 'import', 'orm', 'fk', 'owns', 'attr', 'sql', 'warning')")
+    local = lambda c: F.substring_index(c, "::", -1).alias(c)
+    return rows.select("lang", "tag", local("a"), local("b"), F.when(F.col("tag") == "call", F.coalesce("flag", F.lit(False))).alias("own")).distinct()
+
+
+def _sample_graph(spark) -> Graph:
+    return build.from_rows(sources.extract(samples.files(spark)))
+
+
+@query(f"SELECT * FROM (VALUES {samples.EDGES}) AS t(type, src, dst, confidence)")
+def graph_build_edges(spark, d):
+    g = _sample_graph(spark)
+    name = lambda end: g.nodes.select(F.col("id").alias(end), F.col("qualified_name").alias(f"{end}_name"))
+    return g.edges.join(name("src"), "src").join(name("dst"), "dst").select("type", F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "confidence")
+
+
+@query(f"SELECT * FROM (VALUES {samples.EXTERNALS}) AS t(id)")
+def graph_build_externals(spark, d):
+    return _sample_graph(spark).nodes.where("kind = 'external'").select("id")
+
+
+# Lookups and the service's limits
+
+
+def _texts(spark, d):
+    return B.nodes(spark, d).select("*", F.concat_ws(" ", "kind", "name").alias("embed_text"), F.lit("").alias("docstring"))
+
+
+@query(f"WITH {B.NODES} SELECT id, name || ' ' || qualified_name || ' ' || kind || ' ' || name || ' ' AS text FROM nodes")
+def node_texts(spark, d):
+    return _texts(spark, d).select("id", ranking.node_text().alias("text"))
+
+
+@query(f"WITH {B.NODES} SELECT id FROM nodes WHERE kind = 'class'")
+def ids_of_kind(spark, d):
+    return B.nodes(spark, d).where("kind = 'class'").select("id")
+
+
+@query(f"WITH {B.NODES} SELECT DISTINCT name, qualified_name FROM nodes")
+def symbol_names(spark, d):
+    return B.nodes(spark, d).where("kind <> 'external'").select("name", "qualified_name").distinct()
+
+
+@query(f"WITH {B.NODES} SELECT id, count(*) OVER () AS total, row_number() OVER (ORDER BY length(qualified_name), id) AS rank FROM nodes WHERE name = '1-URGENT' QUALIFY rank <= 25")
+def resolve_capped(spark, d):
+    """A name that many nodes have: the first 25 by length and id, and how many there are."""
+    found = resolve.resolve_refs(B.nodes(spark, d), spark.createDataFrame([("1-URGENT",)], "ref string"))
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return found.where("rank <= 25").select("id", "rank").join(F.broadcast(total))  # one row
+
+
+@query(
+    f"""WITH {B.NODES}, l AS (SELECT lower(name) AS low, max(qualified_name) AS qualified_name FROM nodes GROUP BY 1)
+SELECT low, qualified_name, levenshtein(low, 'customer#00000005') AS edits FROM l WHERE levenshtein(low, 'customer#00000005') <= 0.4 * (length(low) + 17)
+QUALIFY row_number() OVER (ORDER BY levenshtein(low, 'customer#00000005') / (length(low) + 17), low) <= 20"""
+)
+def near_names(spark, d):
+    return resolve.near_names(B.nodes(spark, d), "customer#00000005", 20).select("low", "qualified_name", F.col("edits").cast("bigint").alias("edits"))
+
+
+@query(f"WITH {B.EDGES}, r AS (SELECT type AS relation, 'out' AS direction, dst AS id FROM edges WHERE src = 'nation:3' UNION SELECT type, 'in', src FROM edges WHERE dst = 'nation:3') SELECT *, count(*) OVER () AS total FROM r QUALIFY row_number() OVER (ORDER BY relation, direction DESC, id) <= 200")
+def neighbors_capped(spark, d):
+    """At most 200 neighbours in the service's order, and how many there are."""
+    found = graph.relations(B.edges(spark, d), "nation:3").select("relation", "direction", "id").distinct()
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return found.orderBy("relation", F.desc("direction"), "id").limit(200).join(F.broadcast(total))  # one row
+
+
+@query(ORACLES["impact_data_to_code"].replace("SELECT id, id IN (SELECT id FROM direct) AS direct FROM up", "SELECT direct, count(*) AS n FROM (SELECT id, id IN (SELECT id FROM direct) AS direct FROM up) GROUP BY direct"))
+def impact_totals(spark, d):
+    return impact_data_to_code(spark, d).groupBy("direct").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT status, count(*) AS n FROM ({ORACLES['file_diff']}) GROUP BY status")
+def update_counts(spark, d):
+    return file_diff(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# The weight sweep's verdict: documents by length, by number and by text length, each source being a question of its language's corpus
+
+SIGNAL_ORDERS = {"vector": "n_chars DESC, doc_id", "graph": "doc_id", "lexical": "doc_id DESC"}
+
+
+def _swept(spark, d) -> DataFrame:
+    import itertools
+
+    from .. import evaluate
+
+    configs = [evaluate.CURRENT, *itertools.product(*evaluate.GRID.values())]
+    t = docs(spark, d)
+    parts = None
+    for name, order in SIGNAL_ORDERS.items():
+        one = t.select(F.col("lang").alias("corpus"), F.concat_ws("/", "lang", "source").alias("question"), F.lit(name).alias("signal"), F.col("doc_id").alias("id"), F.expr(f"row_number() OVER (PARTITION BY lang, source ORDER BY {order})").cast("bigint").alias("rank")).where("rank <= 50")
+        parts = one if parts is None else parts.unionByName(one)
+    grid = [(n, s, float(c[k]), c[3], c[4]) for n, c in enumerate(configs) for k, s in enumerate(ranking.SIGNALS)] + [(-1, "vector", 1.0, 1, 10)]
+    fused = ranking.sweep(parts.drop("corpus"), spark.createDataFrame(grid, "config long, signal string, weight double, rrf_k long, depth long"), 10)
+    good = t.join(B.table(spark, d, "labels").where("toxic = 1").select("doc_id"), "doc_id").select(F.concat_ws("/", "lang", "source").alias("question"), F.col("doc_id").alias("id"))
+    first = fused.join(good, ["question", "id"], "left_semi").groupBy("config", "question").agg(F.min("rank").alias("first"))
+    questions = t.select(F.col("lang").alias("corpus"), F.concat_ws("/", "lang", "source").alias("question")).distinct()
+    names = spark.createDataFrame([(n, *map(float, c[:3]), c[3], c[4]) for n, c in enumerate(configs)] + [(-1, 1.0, 0.0, 0.0, 1, 10)], "config long, w_vector double, w_graph double, w_lexical double, rrf_k long, depth long")
+    every = questions.join(F.broadcast(names)).join(first, ["config", "question"], "left")  # the grid has 129 rows
+    return every.groupBy("corpus", *names.columns).agg(F.avg((F.coalesce("first", F.lit(99)) <= 5).cast("double")).alias("recall_at_5"), F.avg(F.col("first").isNotNull().cast("double")).alias("recall_at_10"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
+
+
+def _swept_sql() -> str:
+    import itertools
+
+    from .. import evaluate
+
+    configs = [evaluate.CURRENT, *itertools.product(*evaluate.GRID.values())]
+    rows = ", ".join(f"({n}, '{s}', {float(c[k])}::DOUBLE, {c[3]}, {c[4]})" for n, c in enumerate(configs) for k, s in enumerate(ranking.SIGNALS))
+    ranked = " UNION ALL ".join(f"SELECT lang AS corpus, lang || '/' || source AS question, '{n}' AS signal, doc_id AS id, row_number() OVER (PARTITION BY lang, source ORDER BY {o}) AS rank FROM documents" for n, o in SIGNAL_ORDERS.items())
+    return f"""WITH grid(config, signal, weight, rrf_k, depth) AS (VALUES {rows}, (-1, 'vector', 1.0::DOUBLE, 1, 10)),
+r AS (SELECT * FROM ({ranked}) WHERE rank <= 50),
+f AS (SELECT config, question, id, sum(weight / (rrf_k + rank)) AS score FROM r JOIN grid USING (signal) WHERE rank <= depth GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY config, question ORDER BY round(score, 10) DESC, id) AS rank FROM f QUALIFY rank <= 10),
+g AS (SELECT lang || '/' || source AS question, doc_id AS id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
+h AS (SELECT config, question, min(t.rank) AS first FROM t JOIN g USING (question, id) GROUP BY ALL),
+q AS (SELECT DISTINCT lang AS corpus, lang || '/' || source AS question FROM documents),
+s AS (SELECT corpus, c.config, avg((coalesce(first, 99) <= 5)::INT) AS r5, avg((first IS NOT NULL)::INT) AS r10, avg(coalesce(1.0::DOUBLE / first, 0)) AS m
+  FROM q CROSS JOIN (SELECT DISTINCT config FROM grid) c LEFT JOIN h ON h.config = c.config AND h.question = q.question GROUP BY ALL),
+d AS (SELECT s.*, s.r5 - b.r5 AS g5, s.m - b.m AS gm FROM s JOIN s b ON b.corpus = s.corpus AND b.config = -1 WHERE s.config >= 0),
+e AS (SELECT *, sum(g5) OVER w - g5 AS rest5, sum(gm) OVER w - gm AS restm FROM d WINDOW w AS (PARTITION BY config))
+SELECT config, round(avg(r5) + 1e-9, 6) AS recall_at_5, round(avg(r10) + 1e-9, 6) AS recall_at_10, round(avg(m) + 1e-9, 6) AS mrr, count(*) FILTER (g5 >= -1e-12 AND gm >= -1e-12) AS wins,
+  avg(g5) >= -1e-12 AND avg(gm) >= -1e-12 AS qualifies, avg(g5) >= -1e-12 AND avg(gm) >= -1e-12 AND bool_and(rest5 >= -1e-12 AND restm >= -1e-12) AS stable FROM e GROUP BY config"""
+
+
+@query(_swept_sql())
+def sweep_summary(spark, d):
+    from .. import evaluate
+
+    out = evaluate.summary(_swept(spark, d))
+    return out.select("config", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")], "wins", "qualifies", "stable")

@@ -95,14 +95,11 @@ class GraphService:
         NEAR_NAMES of those are compared here.
         """
         last = ref.rsplit(".", 1)[-1].lower()
-        names = self.docs.select(F.lower("name").alias("low"), "qualified_name")
-        edits, both = F.levenshtein("low", F.lit(last)), F.length("low") + len(last)
-        near = names.where(edits <= 0.4 * both).groupBy("low").agg(F.max("qualified_name").alias("q")).orderBy(edits / both, "low").limit(NEAR_NAMES).collect()
-        by_low = {r["low"]: r["q"] for r in near}
+        by_low = {r["low"]: r["qualified_name"] for r in resolve.near_names(self.docs, last, NEAR_NAMES).collect()}
         close = difflib.get_close_matches(last, list(by_low), limit, 0.6)
         if close:
             return [by_low[c] for c in close]
-        found = names.where(F.contains(F.lower("qualified_name"), F.lit(last))).orderBy("qualified_name").limit(limit)
+        found = self.docs.where(F.contains(F.lower("qualified_name"), F.lit(last))).orderBy("qualified_name").limit(limit)
         return [r["qualified_name"] for r in found.collect()]
 
     def _one(self, ref: str) -> str:

@@ -56,6 +56,38 @@ def test_python_symbols_and_references():
     assert any(r["a"] == "DOCUMENTS" and r["c"] == n["pkg.mod.A"]["id"] for r in by(rows, "edge"))
 
 
+BROKEN = '''def one():
+    return call_one()
+
+class A:
+    def good(self):
+        return 1
+
+    def bad(self, :
+        x = (1,
+        return 2
+
+    def later(self):
+        return self.good()
+
+def two(a):
+    y = [1, 2
+    return y
+
+def three():
+    return call_three()
+'''
+
+
+def test_what_can_be_read_of_a_broken_file_is_kept():
+    rows = python_source.extract("b.py", BROKEN)
+    n = nodes(rows)
+    assert by(rows, "warning") and {"b", "b.one", "b.A", "b.A.good", "b.three"} <= set(n)
+    assert n["b.three"]["start_line"] == 19 and n["b.A.good"]["start_line"] == 5
+    assert {("b.one", "call_one", False), ("b.three", "call_three", False)} <= calls(rows)
+    assert python_source.extract("z.py", "\0")[-1]["tag"] in ("node", "warning")
+
+
 def test_python_that_does_not_parse_gives_module_and_warning():
     rows = python_source.extract("a.py", "def f(:\n")
     assert [r["kind"] for r in by(rows, "node")] == ["module"] and by(rows, "warning")

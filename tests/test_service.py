@@ -157,3 +157,146 @@ def test_command_line(spark, project, capsys):
     assert cli.main(["path", "idle", "users", "--db", db]) == 0
     assert cli.main(["node", "nobody", "--db", db]) == 1
     assert cli.main(["stats", "--db", db]) == 0 and '"table": 2' in capsys.readouterr().out
+
+
+def test_store_meta_edges_and_deletions(spark, project, tmp_path):
+    import shutil
+
+    db = str(tmp_path / "db")
+    shutil.copytree(project[1], db)
+    store = Store(spark, db)
+    graph = store.open()
+    store.put_meta("note", "x")
+    assert store.meta()["note"] == "x" and Store(spark, db).meta()["dim"] == "32"
+    store.delete_meta("note")
+    assert "note" not in store.meta()
+    ids = sorted(r["id"] for r in graph.nodes.where("kind = 'function'").select("id").collect())
+    rows = [("CALLS", ids[0], ids[1], "INFERRED", "hand"), ("CALLS", ids[0], "nowhere", "INFERRED", "hand")]
+    new = spark.createDataFrame(rows, graph.edges.schema)
+    from sparkloom.schema import EDGES
+
+    new = new.select(*[f.name for f in EDGES.fields])
+    assert store.add_edges(new) == 1 and store.add_edges(new) == 0
+    assert store.open().edges.where("resolver = 'hand'").count() == 1
+    assert {r["table"] for r in store.tables().select("table").distinct().collect()} == {"nodes", "edges", "files"}
+    store.set_embeddings(spark.createDataFrame([(ids[0], [1.0] * 32)], "id string, embedding array<float>"))
+    assert store.open().nodes.where(f"id = '{ids[0]}'").first()["embedding"] == [1.0] * 32
+    with pytest.raises(ValueError):
+        store.set_embeddings(spark.createDataFrame([(ids[0], [1.0])], "id string, embedding array<float>"))
+    store.delete_edges(new)
+    assert store.open().edges.where("resolver = 'hand'").count() == 0
+    store.delete_nodes(spark.createDataFrame([(ids[0],)], "id string"))
+    after = store.open()
+    assert after.nodes.where(f"id = '{ids[0]}'").count() == 0 and after.edges.where(f"src = '{ids[0]}' or dst = '{ids[0]}'").count() == 0
+
+
+def test_lost_edge_tables_are_healed_and_lost_nodes_are_not(spark, project, tmp_path):
+    import shutil
+
+    db = str(tmp_path / "db")
+    shutil.copytree(project[1], db)
+    store = Store(spark, db)
+    at = f"{db}/{store.current()}"
+    shutil.rmtree(f"{at}/edges/type=CALLS")
+    with pytest.warns(UserWarning, match="CALLS"):
+        assert store.open().edges.where("type = 'CALLS'").count() == 0
+    assert "CALLS" not in store.meta()["edge_types"] and store.open().edges.count() > 0
+    shutil.rmtree(f"{at}/nodes")
+    with pytest.raises(StoreError):
+        store.open()
+
+
+def test_a_writer_that_dies_leaves_the_last_whole_version(spark, project, tmp_path, monkeypatch):
+    import shutil
+
+    db = str(tmp_path / "db")
+    shutil.copytree(project[1], db)
+    store = Store(spark, db)
+    graph, before = store.open(), store.current()
+    monkeypatch.setattr(Store, "_put", lambda *_: (_ for _ in ()).throw(OSError("died")))
+    with pytest.raises(OSError):
+        store.write(graph, {}, store.files())
+    monkeypatch.undo()
+    assert store.current() == before and store.open().nodes.count() == graph.nodes.count()
+
+
+def test_updates_parse_changed_files_only(spark, tmp_path, monkeypatch):
+    from sparkloom.sources import files as S
+
+    root = tmp_path / "shop"
+    for name, text in FILES.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    db = str(tmp_path / "db")
+    ix.index(spark, str(root), db, HashEmbedder(32))
+    (root / "app/store.py").write_text(FILES["app/store.py"].replace("idle", "busy"))
+    (root / "app/new.py").write_text("from app import store\n\n\ndef go(db):\n    save(db)\n")
+    seen, extract = [], S.extract
+
+    def watched(files, *a):
+        seen.append(sorted(r["path"] for r in files.select("path").collect()))
+        return extract(files, *a)
+
+    monkeypatch.setattr(S, "extract", watched)
+    report = ix.update(spark, str(root), db)
+    assert seen == [["shop/app/new.py", "shop/app/store.py"]]
+    assert (report.status, report.added, report.changed) == ("updated", 1, 1)
+    g = Store(spark, db).open()
+    again = str(tmp_path / "again")
+    monkeypatch.undo()
+    ix.index(spark, str(root), again, HashEmbedder(32))
+    whole = Store(spark, again).open()
+    assert sorted(map(str, g.edges.collect())) == sorted(map(str, whole.edges.collect()))
+    assert sorted(map(str, g.nodes.collect())) == sorted(map(str, whole.nodes.collect()))
+
+
+def test_models_behind_http(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from sparkloom.functions.embedders import LocalHttpEmbedder
+    from sparkloom.operators.rerank import ListwiseReranker, ask_model
+
+    class Model(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            out = {"embedding": [float(len(body["prompt"])), 1.0, 2.0]} if self.path == "/api/embeddings" else {"response": "2, 1"}
+            if body["model"] == "broken":
+                out = {"other": 1}
+            data = json.dumps(out).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        model = LocalHttpEmbedder("m", url)
+        got = model.embed(spark.createDataFrame([("a", "xyz"), ("b", None)], "id string, text string")).collect()
+        assert {r["id"]: r["embedding"] for r in got} == {"a": [3.0, 1.0, 2.0], "b": [0.0, 1.0, 2.0]} and model.dim == 3 and model.dim_is_exact
+        with pytest.raises(RuntimeError, match="embedding"):
+            LocalHttpEmbedder("broken", url).embed(spark.createDataFrame([("a", "x")], "id string, text string"))
+        assert ListwiseReranker(ask_model("m", url)).rerank("q", [("a", "one"), ("b", "two")]) == ["b", "a"]
+    finally:
+        server.shutdown()
+    with pytest.raises(RuntimeError, match="answers"):
+        LocalHttpEmbedder("m", url).embed(spark.createDataFrame([("a", "x")], "id string, text string"))
+
+
+def test_scorecard_baselines_and_sweep(spark, service, project):
+    from sparkloom import evaluate
+
+    questions = [{"id": 1, "mode": "STRUCT", "question": "where is an audit row saved", "anchors": ["save"]}, {"id": 2, "mode": "WHY", "question": "what is a person", "anchors": ["User"]}]
+    with pytest.warns(UserWarning, match="gone"):
+        card = evaluate.scorecard({"shop": (service, questions), "gone": (None, [])}, modes=("lexical",), baselines=True)
+    assert [r["retriever"] for r in card] == ["lexical+hash-32", "grep", "naive-rag+hash-32"] and all(0 <= r["mrr"] <= 1 for r in card)
+    swept = evaluate.sweep({"shop": (service, questions)})
+    rows = evaluate.summary(swept).collect()
+    assert len(rows) == 1 + 4 * 2 * 2 * 4 * 2 and all(r["qualifies"] <= (r["wins"] == 1) for r in rows)
+    best = evaluate.winner(swept)
+    assert best is None or best["qualifies"]
