@@ -179,3 +179,44 @@ def compare(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         likeness(F.col("a"), F.col("c")).alias("near_next"),
         F.array_join(F.transform(differing_paragraphs(F.col("a"), F.col("b")), lambda i: i.cast("string")), ",").alias("differing"),
     )
+
+
+#: The same trees by DuckDB's list functions; what differs is looked up in lists of nodes.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, coalesce(lag(t) OVER (ORDER BY doc_id), last_value(t) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS c, length(t) AS len FROM d),
+e AS (SELECT doc_id, len, t AS a, substr(t, 1, len - len // 3) || substr(c, 1, len // 3) AS b, c FROM n),
+u AS (SELECT doc_id, 'a' AS v, a AS t FROM e UNION ALL SELECT doc_id, 'b', b FROM e UNION ALL SELECT doc_id, 'c', c FROM e),
+p AS (SELECT doc_id, v, list_transform(string_split(t, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{LEAF}'), lambda x: md5(x) || chr((65 + length(x) // 3)::INT))) AS hs FROM u),
+m AS (SELECT *, list_transform(hs, lambda h: md5(array_to_string(h, ''))) AS nodes,
+  list_transform(hs, lambda h: list_transform(h, lambda x: substr(to_base64(unhex(substr(x, 1, 10))), 1, {LEAF_KEPT}) || substr(x, 33))) AS ls FROM p),
+g AS (SELECT *, regexp_extract_all(array_to_string(nodes, ';') || ';', '{SECTION}') AS gs FROM m),
+k AS (SELECT *, list_transform(range(1, len(gs) + 1), lambda i: (list_sum(list_transform(gs[1:i], lambda x: length(x))) // 33)::INT) AS ends, list_transform(gs, lambda x: md5(x)) AS snodes FROM g),
+w AS (SELECT *, list_transform(range(1, len(gs) + 1), lambda i: coalesce(ends[i - 1], 0) + 1) AS starts FROM k),
+t AS (
+  SELECT doc_id, v, nodes, ls, snodes, starts, ends, sha256(array_to_string(snodes, '')) AS root,
+    list_transform(range(1, len(nodes) + 1), lambda i: len(list_filter(starts, lambda x: x <= i))) AS owner FROM w),
+f AS (
+  SELECT *, root || '|' || array_to_string(list_transform(range(1, len(snodes) + 1), lambda i: substr(snodes[i], 1, {KEPT}) || '/' || array_to_string(
+    list_transform(range(starts[i], ends[i] + 1), lambda j: substr(nodes[j], 1, {KEPT}) || ':' || array_to_string(ls[j], '')), ',')), ';') AS print FROM t),
+x AS (
+  SELECT a.doc_id, o.v, a.root = o.root AS same, a.nodes AS an, a.ls AS al, o.nodes AS bn, o.ls AS bl,
+    list_filter(range(1, len(a.nodes) + 1), lambda i: NOT list_contains(o.snodes, a.snodes[a.owner[i]])) AS pa,
+    list_filter(range(1, len(o.nodes) + 1), lambda i: NOT list_contains(a.snodes, o.snodes[o.owner[i]])) AS pb
+  FROM f a JOIN f o ON a.doc_id = o.doc_id AND a.v = 'a' AND o.v <> 'a'),
+y AS (
+  SELECT *, list_filter(pa, lambda i: NOT list_contains(list_transform(pb, lambda j: bn[j]), an[i])) AS qa, list_filter(pb, lambda i: NOT list_contains(list_transform(pa, lambda j: an[j]), bn[i])) AS qb FROM x),
+z AS (
+  SELECT *, flatten(list_transform(qa, lambda i: al[i])) AS la, flatten(list_transform(qb, lambda i: bl[i])) AS lb, flatten(al) AS fa, flatten(bl) AS fb FROM y),
+s AS (
+  SELECT doc_id, v, same, an, qa, list_sum(list_transform(list_concat(fa, fb), lambda q: ascii(substr(q, {LEAF_KEPT + 1})) - 64)) AS every,
+    coalesce(list_sum(list_transform(list_concat(la, lb), lambda q: ascii(substr(q, {LEAF_KEPT + 1})) - 64)), 0) AS open,
+    coalesce(list_sum(list_transform(list_concat(list_distinct(la), list_distinct(lb)), lambda q: ascii(substr(q, {LEAF_KEPT + 1})) - 64)), 0) AS differ,
+    coalesce(list_sum(list_transform(list_intersect(la, lb), lambda q: ascii(substr(q, {LEAF_KEPT + 1})) - 64)), 0) AS shared FROM z),
+r AS (
+  SELECT *, CASE WHEN same THEN 1.0 WHEN coalesce(every, 0) - open + differ > 0 THEN least((every - open + 2.0::DOUBLE * shared) / (every - open + differ), 1 - 0.5::DOUBLE / (every + 1)) ELSE 0.0 END::DOUBLE AS near FROM s)
+SELECT e.doc_id, e.len::BIGINT AS n_chars, sha256(e.b) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint, rb.near AS near_edited, rc.near AS near_next,
+  CASE WHEN rb.same THEN '' ELSE array_to_string(list_transform(list_filter(range(1, len(rb.an) + 1), lambda i: list_contains(list_transform(rb.qa, lambda j: rb.an[j]), rb.an[i])), lambda i: i - 1), ',') END AS differing
+FROM e JOIN f a ON a.doc_id = e.doc_id AND a.v = 'a' JOIN f b ON b.doc_id = e.doc_id AND b.v = 'b'
+JOIN r rb ON rb.doc_id = e.doc_id AND rb.v = 'b' JOIN r rc ON rc.doc_id = e.doc_id AND rc.v = 'c'
+"""

@@ -204,3 +204,23 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
 
 def report(deduped: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return deduped.select(key, F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(text, 256).alias("kept_sha256"))
+
+
+#: All runs by themselves, without fingerprints: a line goes if a run of SURE words that holds it starts earlier too.
+ORACLE_SQL = rf"""
+WITH l AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS raw, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS ls FROM documents),
+w AS (SELECT *, list_transform(ls, lambda x: len(regexp_extract_all(x, '\S+'))) AS n FROM l),
+c AS (SELECT *, list_transform(range(0, len(n) + 1), lambda i: coalesce(list_sum(n[1:i]), 0)) AS upto FROM w),
+i AS (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM c),
+r AS (
+  SELECT doc_id, i AS lo, list_position(list_transform(upto, lambda u: u >= upto[i] + {SURE}), true) - 1 AS hi, ls FROM i
+  UNION ALL SELECT doc_id, len(list_filter(upto, lambda u: u <= upto[i + 1] - {SURE})), i, ls FROM i),
+d AS (SELECT DISTINCT doc_id, lo, hi, array_to_string(ls[lo:hi], chr(10)) AS run FROM r WHERE lo > 0 AND hi >= lo),
+k AS (SELECT doc_id, lo, hi FROM d QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, lo) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS i FROM k),
+s AS (
+  SELECT i.doc_id, len(any_value(raw)) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(raw[i.i], chr(10) ORDER BY i.i) FILTER (g.i IS NULL), '') AS kept
+  FROM i LEFT JOIN g ON g.doc_id = i.doc_id AND g.i = i.i GROUP BY i.doc_id)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, sha256(kept) AS kept_sha256 FROM s
+"""

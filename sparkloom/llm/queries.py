@@ -65,6 +65,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op5_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op7_merkle": fingerprint.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
     "op8_perspectives": chat.ORACLE_SQL,
     "op10_jaccard_join": jaccard_join.ORACLE_SQL,
