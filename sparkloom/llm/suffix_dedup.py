@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, low_bytes, number, packed, release, text_or_empty, trim
+from .common import Stored, low_bytes, number, packed, release, small_batches, text_or_empty, trim
 
 DEPTH, ANCHOR, SPACING, SEED = 50, 31, 20, 11
 #: Bytes that are hashed at a time, and window starts of one piece of a long text.
 PIECE = 1 << 20
 ROWS = 512
+#: Characters of text that are looked at together, and settled among themselves first.
+GROUP = 12 << 20
 #: Characters of text to a bucket of digits, and the least and greatest number of buckets.
 BUCKET_BYTES, BUCKETS = 8 << 20, (64, 1 << 18)
 _LOW = np.uint64((1 << 28) - 1)
@@ -192,12 +194,28 @@ def _in_buckets(dealt: DataFrame, sort, keys: list[int], schema: str) -> DataFra
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The columns of rows whose texts (the second column) have GROUP characters together, or a little more."""
+    held: list[list] = []
+    size = 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            columns = [c.to_pylist() for c in whole.slice(at, 256).columns]
+            held = [h + c for h, c in zip(held, columns, strict=True)] if held else columns
+            size += sum(map(len, columns[1]))
+            if size >= GROUP:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _digits(source: DataFrame, buckets: int) -> DataFrame:
     """Anchors (pos: first window << 7 | number of windows - 1) by bucket, and what the batch has settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number_, batch in enumerate(batches):
-            ids = batch.column(0).to_numpy()
+        for number_, (ids, texts) in enumerate(_grouped(batches)):
+            ids = np.array(ids, np.int64)
             parts: list[tuple[np.ndarray, ...]] = []
             held: list[bytes] = []
             begins: list[int] = []
@@ -213,7 +231,7 @@ def _digits(source: DataFrame, buckets: int) -> DataFrame:
                     x.clear()
 
             size = 0
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            for row, text in enumerate(texts):
                 data = text.encode("utf-8", "surrogatepass")
                 for at in range(0, len(data) - DEPTH + 1, PIECE):
                     piece = data[at : at + PIECE + DEPTH - 1]
@@ -278,12 +296,12 @@ def _windows(source: DataFrame, buckets: int) -> DataFrame:
     """The windows that are left to sort, by bucket of their hash, and what the batch has settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number_, batch in enumerate(batches):
+        for number_, (ids, texts, los, his, fines) in enumerate(_grouped(batches)):
             parts = []
-            ids = batch.column(0).to_numpy()
-            for row in range(batch.num_rows):
-                data = batch.column(1)[row].as_py().encode("utf-8", "surrogatepass")
-                lo, hi, fine = (np.array(x, np.int64) for x in (batch.column(c)[row].as_py() for c in (2, 3, 4)))
+            ids = np.array(ids, np.int64)
+            for row, text in enumerate(texts):
+                data = text.encode("utf-8", "surrogatepass")
+                lo, hi, fine = (np.array(x[row], np.int64) for x in (los, his, fines))
                 mark = np.zeros(len(data) + 2, np.int32)
                 np.add.at(mark, lo[fine == 1], 1)
                 np.add.at(mark, hi[fine == 1] + 1, -1)
@@ -342,6 +360,7 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     source = df.select(F.col(f"`{key}`").cast("long").alias("k"), text_or_empty(f"`{text}`").alias("t"))
     spark = df.sparkSession
+    small_batches(spark)
     total = source.agg(F.sum(F.length("t"))).first()[0] or 0
     buckets = BUCKETS[0]
     while buckets < BUCKETS[1] and buckets * BUCKET_BYTES < total:
@@ -381,3 +400,19 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def report(deduped: DataFrame, key: str = "doc_id") -> DataFrame:
     return deduped.select(key, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All windows by themselves, as hexadecimal digits; no anchors.
+ORACLE_SQL = rf"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, {2 * DEPTH}) AS w FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - {DEPTH - 1}))) AS pos FROM h)),
+f AS (SELECT w, min(doc_id) AS least FROM p GROUP BY w HAVING count(*) > 1),
+g AS (SELECT doc_id, pos FROM p JOIN f USING (w) WHERE doc_id > least),
+n AS (SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > {DEPTH}, true) AS new FROM g),
+i AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM n),
+s AS (SELECT doc_id, span, min(pos) AS lo, max(pos) + {DEPTH} AS hi FROM i GROUP BY doc_id, span),
+e AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS done FROM s),
+k AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * done + 1, 2 * (lo - done)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept FROM e JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT h.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM h LEFT JOIN k ON k.doc_id = h.doc_id
+"""
