@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ MAX_HOPS = 8
 ALPHA, ROUNDS = 0.85, 30
 #: Rounds whose plans are joined before their result is written.
 UNROLLED = 4
+RANKS_UNROLLED = 10
 
 
 def relations(edges: DataFrame, node: str | DataFrame, direction: str = "both", types: Sequence[str] | None = None) -> DataFrame:
@@ -126,20 +128,32 @@ def pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, alpha: float
     steps = undirected(edges, nodes)
     degree = steps.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
     # parallel edges as one with their number: fewer rows in each round
-    weights = cut(steps.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).join(degree, "a").select("a", "b", (F.col("m") / F.col("degree")).alias("w")).repartition("a"), "steps")
+    named = cut(steps.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).join(degree, "a").select("a", "b", (F.col("m") / F.col("degree")).alias("w")), "steps")
+    # numbers for ids, written down once, so that rounds move 16 bytes a node; every end is some edge's start
+    numbers = cut(named.select(F.col("a").alias("id")).distinct().withColumn("no", F.monotonically_increasing_id()), "numbers")
+    a, b = (numbers.select(F.col("id").alias(c), F.col("no").alias(f"{c}_no")) for c in "ab")
+    numbered = cut(named.join(a, "a").join(b, "b").select(F.col("a_no").alias("a"), F.col("b_no").alias("b"), "w"), "numbered")
+    # held in the partitioning of the join of all rounds: only ranks are shuffled; what a lost executor held is read anew
+    parts = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    weights = numbered.repartition(parts, "a").persist(StorageLevel.MEMORY_AND_DISK)
     total = F.sum("weight").over(Window.partitionBy(F.lit(1)))
     start = cut(seeds.join(nodes.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("weight").alias("weight")).withColumn("p", F.col("weight") / total).select("id", "p"), "seeds")
     # a node without edges gets rank from the restart only, so what goes back each round follows from the seeds' share
-    loose = start.join(weights.select(F.col("a").alias("id")).distinct(), "id", "left_anti").agg(F.sum("p")).first()[0] or 0.0
-    rank, stuck = start.select("id", F.col("p").alias("r")), loose
+    loose = start.join(numbers, "id", "left_anti").agg(F.sum("p")).first()[0] or 0.0
+    fixed = cut(start.join(numbers, "id").select(F.col("no").alias("id"), "p"), "seeds")
+    alone = start.join(numbers, "id", "left_anti")
+    rank, stuck = fixed.select("id", F.col("p").alias("r")), loose
     for k in range(1, rounds + 1):
         back = 1 - alpha + alpha * stuck
         stuck = loose * back
         moved = weights.join(rank, weights["a"] == rank["id"]).select(F.col("b").alias("id"), (F.col("r") * F.col("w") * alpha).alias("x"))
-        rank = moved.unionByName(start.select("id", (F.col("p") * back).alias("x"))).groupBy("id").agg(F.sum("x").alias("r"))
-        if k % UNROLLED == 0 and k < rounds:
+        rank = moved.unionByName(fixed.select("id", (F.col("p") * back).alias("x"))).groupBy("id").agg(F.sum("x").alias("r"))
+        if k % RANKS_UNROLLED == 0 or k == rounds:
             rank = cut(rank, "rank")
-    return rank.where("r > 0").select("id", F.col("r").alias("score"))
+    weights.unpersist()
+    out = rank.join(numbers.select(F.col("no").alias("n"), F.col("id").alias("name")), F.col("id") == F.col("n")).select(F.col("name").alias("id"), F.col("r").alias("score"))
+    # a seed without edges has what the last round gave back
+    return out.unionByName(alone.select("id", (F.col("p") * (back if rounds else 1.0)).alias("score"))).where("score > 0")
 
 
 def node_counts(nodes: DataFrame) -> DataFrame:
