@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ SKIPPED = ("__pycache__", "node_modules", "site-packages", ".eggs", "dist", "bui
 VENV_NAMES = ("venv", "env")
 LANGUAGES = {".py": "python", ".sql": "sql", ".java": "java", ".go": "go"} | dict.fromkeys(SUFFIXES[4:], "ts")
 ORDER = ("python", "sql", "java", "go", "ts")
+_ARROW = pa.schema([(x.split()[0], {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}[x.split()[1]]) for x in (R.SCHEMA + ", ord bigint").split(", ")])
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -71,26 +72,26 @@ def extract(files: DataFrame, languages: tuple[str, ...] = ORDER) -> DataFrame:
             warnings.warn(f"no extractor for {lang} files; they are skipped", stacklevel=2)
         files = files.where(F.col("lang").isin(*languages))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, lang, order, content in zip(part.path, part.lang, part.ord, part.content, strict=True):
-                rows = pd.DataFrame(_extract(lang, path, bytes(content).decode("utf-8", "replace")), columns=R.FIELDS)
-                rows["ord"] = order
-                yield rows.astype(object).where(rows.notna(), None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, lang, order, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [r | {"ord": order} for r in _extract(lang, path, content.decode("utf-8", "replace"))]
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return files.select("path", "lang", "ord", "content").mapInPandas(run, R.SCHEMA + ", ord bigint")
+    return files.select("path", "lang", "ord", "content").mapInArrow(run, R.SCHEMA + ", ord bigint")
 
 
 def extract_embedded(units: DataFrame) -> DataFrame:
     """Rows of SQL strings (owner, file, text, seq)."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..operators.extract.sql_source import extract_embedded as one
 
-        for part in parts:
-            for owner, file, text, seq in zip(part.owner, part.file, part.text, part.seq, strict=True):
-                rows = pd.DataFrame(one(owner, file, text), columns=R.FIELDS)
-                rows["ord"] = seq
-                yield rows.astype(object).where(rows.notna(), None)
+        for batch in batches:
+            rows = []
+            for owner, file, text, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [r | {"ord": seq} for r in one(owner, file, text)]
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return units.select("owner", "file", "text", "seq").mapInPandas(run, R.SCHEMA + ", ord bigint")
+    return units.select("owner", "file", "text", "seq").mapInArrow(run, R.SCHEMA + ", ord bigint")

@@ -25,9 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._sparkloom_dir
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one: what it leaves there is deleted with it, by clear() or from outside."""
+    return f"{shared_dir(spark)}/sparkloom-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """All intermediate tables of this application go; no DataFrame made before may be used after."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df as a written table: its plan starts anew, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
