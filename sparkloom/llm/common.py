@@ -44,7 +44,8 @@ class Stored:
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        # one folder an application, so that what stays there can be deleted with it (storage.clear)
+        self.path = f"{shared_dir(self.spark)}/sparkloom-{self.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
