@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -22,13 +23,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
-from .common import small_batches, text_or_empty
+from .common import small_batches, text_or_empty, trim
 
-#: Entries of a worker's cache of pre-tokens; beyond it the cache is emptied, which costs time but changes nothing.
-CACHE_ENTRIES = 150_000
+#: Entries of each of the two generations of a worker's cache of pre-tokens.
+CACHE_ENTRIES = 200_000
 #: Pre-tokens longer than this are encoded each time, so that the cache stays small.
 CACHE_LENGTH = 64
+UNASSIGNED = regex.compile(r"\p{Cn}")
 #: Last characters of a word are moved by this in the automaton's alphabet, as they carry the end-of-word suffix.
 LAST = 0x4000
 
@@ -52,6 +56,8 @@ class PrefixBPE:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
+        # the same pattern for lower-case ASCII texts, without Unicode tables
+        self.ascii_pattern = re.compile(self.pattern.pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
@@ -61,6 +67,8 @@ class PrefixBPE:
             self.rank[vocab[a], vocab[b]] = r
             self.parts.setdefault(whole, (vocab[a], vocab[b]))
             self.born.setdefault(whole, r)
+        self.library = Tokenizer.from_file(path)
+        self.split = Split(Regex(self.pattern.pattern), "removed", invert=True)
         self.bytes = byte_alphabet()
         self.as_last = {ord(c): ord(c) + LAST for c in self.bytes}
         self.compatible = lru_cache(maxsize=200_000)(self._compatible)
@@ -114,14 +122,19 @@ class PrefixBPE:
         s = "".join(map(self.bytes.__getitem__, word.encode("utf-8", "surrogatepass")))
         if self.suffix:
             s = s[:-1] + s[-1].translate(self.as_last)
-        last: list[int] = [-1] * (len(s) + 1)
-        length = [0] * (len(s) + 1)
+        size = len(s) + 1
+        last: list[int] = [-1] * size
+        length = [0] * size
         compatible = self.compatible
-        for end, (n, i) in self.automaton.iter(s):
-            end += 1
-            if n > length[end] and (n == end or (last[end - n] >= 0 and compatible(last[end - n], i))) and last[end] < 0:
-                last[end], length[end] = i, n
-        ids, at = [], len(s)
+        done = -1
+        for end, (n, i) in self.automaton.iter(s):  # for each end the longest token first
+            if end == done:
+                continue
+            start = end + 1 - n
+            if not start or ((before := last[start]) >= 0 and compatible(before, i)):
+                done = end
+                last[end + 1], length[end + 1] = i, n
+        ids, at = [], size - 1
         while at:
             ids.append(last[at])
             at -= length[at]
@@ -129,39 +142,62 @@ class PrefixBPE:
         return ids
 
     def _pretokens(self, text: str) -> list[str]:
+        if not text.isascii() and UNASSIGNED.search(text):
+            # characters that only the library's newer Unicode tables may know: it finds the pre-tokens here
+            normal = self.library.normalizer.normalize_str(text)
+            return [x for x, _ in self.split.pre_tokenize_str(normal)]
         s = text if text.isascii() else unicodedata.normalize("NFC", text)
+        if text.isascii():
+            return self.ascii_pattern.findall(text.lower())
         if "Σ" in s:  # the library lowers each character by itself, without the rule for a final sigma
             s = s.replace("Σ", "σ")
         return self.pattern.findall(s.lower())
 
-    def encode(self, text: str) -> list[int]:
-        parts = self.at_special.split(text) if self.at_special and "<|" in text else [text]
-        if len(parts) == 1:
-            return list(chain.from_iterable(map(self.words.__getitem__, self._pretokens(text))))
-        out: list[int] = []
-        for k, part in enumerate(parts):
+    def pieces(self, text: str) -> list[tuple[bytes, str]]:
+        """For each pre-token its ids as 32-bit numbers, and what they decode to."""
+        found = self.words.__getitem__
+        if not (self.at_special and "<|" in text):
+            return list(map(found, self._pretokens(text)))
+        out: list[tuple[bytes, str]] = []
+        for k, part in enumerate(self.at_special.split(text)):
             if k % 2:
-                out.append(self.special[part])
+                out.append((np.int32(self.special[part]).tobytes(), part))
             else:
-                out.extend(chain.from_iterable(map(self.words.__getitem__, self._pretokens(part))))
+                out.extend(map(found, self._pretokens(part)))
         return out
 
+    def encode_and_decode(self, text: str) -> tuple[bytes, str]:
+        """The ids as 32-bit numbers, and what they decode to."""
+        found = self.pieces(text)
+        return b"".join([x for x, _ in found]), " ".join([d for _, d in found])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_and_decode(text)[0], np.int32).tolist()
+
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: the tokens are joined by one space."""
         return " ".join(map(self.token.__getitem__, ids))
 
 
 class _Words(dict):
+    """Pre-token to its ids as bytes and their decoded form. When it is full, it becomes the old generation, from which
+    what is asked for again comes back: frequent words stay."""
+
     def __init__(self, bpe: PrefixBPE):
-        self.bpe = bpe
-
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.bpe.encode_word(word)
-        if len(word) <= CACHE_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.bpe, self.old = bpe, {}
+
+    def __missing__(self, word: str) -> tuple[bytes, str]:
+        out = self.old.get(word)
+        if out is None:
+            ids = self.bpe.encode_word(word)
+            out = array("i", ids).tobytes(), self.bpe.decode(ids)
+            if len(word) > CACHE_LENGTH:
+                return out
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[word] = out
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -185,13 +221,13 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keys: tuple[str,
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                ids = [bpe.encode(t) for t in batch.column(len(names)).to_pylist()]
-                decoded = pa.array([bpe.decode(x) for x in ids], pa.large_string()).cast(pa.string())
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                found = [bpe.encode_and_decode(t) for t in batch.column(len(names)).to_pylist()]
+                decoded = pa.array([d for _, d in found], pa.large_string()).cast(pa.string())
+                offsets = np.zeros(len(found) + 1, np.int32)
+                np.cumsum([len(x) // 4 for x, _ in found], out=offsets[1:])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join([x for x, _ in found]), np.int32)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(names))], lists, decoded], names=[*names, "ids", "decoded"])
+        trim()
 
     fields = ", ".join(f"`{n}` {t}" for n, t in source.dtypes if n != "__text")
     return source.mapInArrow(run, f"{fields}, ids array<int>, decoded string")

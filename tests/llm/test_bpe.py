@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -31,10 +32,24 @@ def test_equals_the_library_on_odd_strings(library):
     for _ in range(4000):
         s = "".join(rnd.choice("abdeinorst") for _ in range(rnd.randint(1, 30)))
         assert mine.encode(s) == library.encode(s, add_special_tokens=False).ids, s
+    parts += ["\x1c", "\x85", "\u2028", "\xa0", " one, Two", "e\u0301", "\u0301", "x's", "don't"]
+    for _ in range(4000):
+        s = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        want = library.encode(s, add_special_tokens=False).ids
+        ids, decoded = mine.encode_and_decode(s)
+        assert np.frombuffer(ids, np.int32).tolist() == want and decoded == library.decode(want, skip_special_tokens=False), repr(s)
     s = "ab" * 40_000  # one pre-token
     assert mine.encode(s) == library.encode(s, add_special_tokens=False).ids
 
 
+def test_equals_the_library_on_characters_of_every_unicode_version(library):
+    rnd, mine = random.Random(8), bpe.load(PATH)
+    unknown = [chr(c) for c in range(0x80, 0x33480) if bpe.UNASSIGNED.match(chr(c))]
+    for _ in range(6000):
+        s = "ab" + rnd.choice(unknown) + rnd.choice(["", "cd ", " 1"]) + rnd.choice(unknown) + chr(rnd.choice([0x1C89, 0xA7CB, 0x10D50, 0x16D43, 0x61]))
+        assert mine.encode(s) == library.encode(s, add_special_tokens=False).ids, repr(s)
+
+
 def test_edge_cases(spark, edge, library):
     got = bpe.digests(bpe.encode_decode(edge, PATH)).collect()
     assert len(got) == edge.count()
