@@ -37,6 +37,8 @@ STARTS = (6, 8)
 CACHE_ENTRIES = 60_000
 HEADS = ("quality", "toxic")
 ROWS = 512
+#: Features that are summed at a time.
+PIECE = 1 << 20
 
 
 class _Slots(dict):
@@ -94,20 +96,25 @@ def meta_features(source: str | None, lang: str | None, n_chars: int | None) ->
 
 
 class Rows:
-    """Sets of features of rows, as one flat array; a row's features share weight 1 / sqrt(their number)."""
+    """Sets of features of rows, as one flat array; a row's features share weight 1 / sqrt(their number). Sums go by
+    pieces, so that what is held besides stays small."""
 
     def __init__(self, rows: list[np.ndarray]):
         self.n = len(rows)
         sizes = np.array([len(r) for r in rows], np.int64)
-        self.flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        self.flat = np.concatenate(rows) if rows else np.zeros(0, np.uint16)
         self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        self.value = np.repeat((1 / np.sqrt(np.maximum(1, sizes))).astype(np.float32), sizes)
+        self.scale = 1 / np.sqrt(np.maximum(1, sizes))
+
+    def _pieces(self) -> Iterator[slice]:
+        return (slice(at, at + PIECE) for at in range(0, len(self.flat), PIECE))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.flat] * self.value, self.n)
+        return sum((np.bincount(self.row[c], w[self.flat[c]], self.n) for c in self._pieces()), np.zeros(self.n)) * self.scale
 
     def back(self, g: np.ndarray, dims: int) -> np.ndarray:
-        return np.bincount(self.flat, g[self.row] * self.value, dims)
+        g = g * self.scale
+        return sum((np.bincount(self.flat[c], g[self.row[c]], dims) for c in self._pieces()), np.zeros(dims))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
