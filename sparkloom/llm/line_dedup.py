@@ -185,13 +185,14 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
     own = df.drop("__n_lines", "__n_removed")
     h = F.xxhash64(text_or_empty(f"`{text}`"))
     lines = Stored(_lines(own.select(F.col(f"`{key}`").alias("k"), h.alias("h"), text_or_empty(f"`{text}`").alias("t")), least, sure), "lines").df
-    # counts are combined on the map side, so a frequent line is a row a task; the join after them has one row a key on its side
+    # counts are combined on the map side, so a frequent line is a row a task. They are written down, so that the join with
+    # them stands in a stage of its own, whose hot keys adaptive execution splits
     prints = lines.select("k", "h", F.explode(F.arrays_zip("fp", "at", "to")).alias("x")).select("k", "h", F.col("x.fp").alias("fp"), F.struct("x.at", "x.to").alias("mark"))
-    again = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    again = Stored(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "again").df
     marks = prints.join(again, "fp").groupBy("k", "h").agg(F.collect_set("mark").alias("marks")).withColumnsRenamed({"k": "mk", "h": "mh"})
     marked = lines.dropDuplicates(["k", "h"]).join(marks, F.col("k").eqNullSafe(F.col("mk")) & (F.col("h") == F.col("mh"))).select("k", "h", "hashes", "words", "marks")
     runs = Stored(_runs(marked, sure), "runs").df
-    first = runs.groupBy("a", "b").agg(F.min(F.struct("k", "h", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
+    first = Stored(runs.groupBy("a", "b").agg(F.min(F.struct("k", "h", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first"), "first").df
     later = runs.join(first, ["a", "b"]).where(~F.struct("k", "h", "lo").eqNullSafe(F.col("first")))
     gone = later.groupBy("k", "h").agg(F.collect_list("lo").alias("__at"), F.collect_list("hi").alias("__to")).withColumnsRenamed({"k": "__gk", "h": "__gh"})
     at = own.columns.index(text)
