@@ -478,7 +478,9 @@ def _by_pivots(large: DataFrame, level: int) -> DataFrame:
 
 
 def _sized(members: DataFrame) -> DataFrame:
-    sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    """Sizes are written down first (as are the other small sums by block): a join right after an aggregation on its key
+    cannot be split where a block is hot."""
+    sizes = Stored(members.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes").df
     return members.join(sizes, "block")
 
 
@@ -487,6 +489,7 @@ def _divided(large: DataFrame, to: DataFrame) -> DataFrame:
     to = Stored(to, "divided").df
     work = to.groupBy("block", "to").agg(F.count(F.lit(1)).alias("m")).groupBy("block").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
     good = work.join(large.select("block", "size").distinct(), "block").where("2 * work <= size * size").select("block")
+    good = Stored(good, "good").df
     moved = large.join(to.join(good, "block"), ["block", "rid"]).select(F.col("to").alias("block"), "rid", "n", "shared", "first")
     return moved.unionByName(large.join(good, "block", "left_anti").select("block", "rid", "n", "shared", "first"))
 
@@ -500,6 +503,7 @@ def _main_and_others(large: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = Stored(large.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "named").df
     most = named.groupBy("block", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("block").agg(F.max(F.struct("m", "label")).alias("t"), F.sum("m").alias("all"))
     most = most.select(F.col("block").alias("b"), F.col("t.label").alias("main"), F.ceil((F.col("all") - F.col("t.m")) / LARGE).cast("int").alias("chunks"))
+    most = Stored(most, "most").df
     both = named.join(most, F.col("block") == F.col("b")).where("chunks > 0").withColumn("shares", F.ceil(F.col("size") / LARGE).cast("int"))
     all_ = both.withColumn("share", F.pmod(F.hash("rid"), "shares")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     others = both.where("label <> main").withColumn("chunk", F.pmod(F.hash("rid", F.lit(1)), "chunks")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
@@ -543,6 +547,7 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     suspects = Stored(suspects.join(classes.select(F.col("rep").alias("rid")), "rid").select("rid", "n", "first", "shared"), "suspects").df
     each = suspects.select("rid", F.explode("first").alias("g"))
     regions = each.groupBy("g").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("g", "lo")
+    regions = Stored(regions, "regions").df
     blocks = components(each.join(regions, "g").where("rid <> lo").select(F.col("lo").alias("x"), F.col("rid").alias("y")).distinct())
     members = suspects.join(blocks.withColumnRenamed("k", "rid"), "rid").select(F.col("c").alias("block"), "rid", "n", "shared", "first")
     links = _links(Stored(members, "members").df)
