@@ -20,6 +20,12 @@ from . import vectors as V
 # The hosts that count as this machine, and the setting that allows others.
 LOOPBACK = ("127.0.0.1", "localhost", "0.0.0.0", "::1")
 ALLOW_REMOTE = "SPARKLOOM_ALLOW_REMOTE"
+#: Where models answer, if not at the usual place, and the embedder and the reranker's model if none is named.
+MODEL_URL, EMBEDDER, RERANK_MODEL = "SPARKLOOM_MODEL_URL", "SPARKLOOM_EMBEDDER", "SPARKLOOM_RERANK_MODEL"
+
+
+def model_url() -> str:
+    return os.environ.get(MODEL_URL, "http://127.0.0.1:11434")
 
 
 class Embedder(Protocol):
@@ -52,8 +58,8 @@ class LocalHttpEmbedder:
     dim_is_exact = False
     TIMEOUT_S = 60
 
-    def __init__(self, model: str, url: str = "http://127.0.0.1:11434"):
-        self.name, self.dim, self.url = f"http-{model}", 0, check_host(url)
+    def __init__(self, model: str, url: str | None = None):
+        self.name, self.dim, self.url = f"http-{model}", 0, check_host(url or model_url())
 
     def embed(self, df: DataFrame) -> DataFrame:
         url, model, timeout = self.url.rstrip("/"), self.name.removeprefix("http-"), self.TIMEOUT_S
@@ -98,7 +104,7 @@ def check_host(url: str) -> str:
 
 def get_embedder(name: str | None = None) -> Embedder:
     """hash, hash-<dim> or http-<model>; from the environment if no name is given."""
-    name = name or os.environ.get("SPARKLOOM_EMBEDDER", "hash")
+    name = name or os.environ.get(EMBEDDER, "hash")
     if name == "hash":
         return HashEmbedder()
     if name.startswith("hash-") and name[5:].isdigit():

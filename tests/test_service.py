@@ -300,3 +300,18 @@ def test_scorecard_baselines_and_sweep(spark, service, project):
     assert len(rows) == 1 + 4 * 2 * 2 * 4 * 2 and all(r["qualifies"] <= (r["wins"] == 1) for r in rows)
     best = evaluate.winner(swept)
     assert best is None or best["qualifies"]
+
+
+def test_settings_of_the_environment(monkeypatch):
+    from sparkloom.functions.embedders import LocalHttpEmbedder
+    from sparkloom.operators.rerank import get_reranker
+
+    monkeypatch.setenv("SPARKLOOM_MODEL_URL", "http://localhost:1234")
+    assert LocalHttpEmbedder("m").url == "http://localhost:1234" and get_reranker("listwise").ask is None
+    monkeypatch.setenv("SPARKLOOM_RERANK_MODEL", "m")
+    assert get_reranker("listwise").ask is not None and get_reranker("listwise-x").ask is not None
+    monkeypatch.setenv("SPARKLOOM_MODEL_URL", "http://example.com:1")
+    with pytest.raises(ValueError):
+        LocalHttpEmbedder("m")
+    monkeypatch.setenv("SPARKLOOM_EMBEDDER", "hash-16")
+    assert get_embedder().dim == 16
