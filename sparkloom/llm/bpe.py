@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
-from .common import small_batches, text_or_empty, trim
+from .common import claim, small_batches, text_or_empty, trim
 
 #: Entries of each of the two generations of a worker's cache of pre-tokens.
 CACHE_ENTRIES = 200_000
@@ -174,6 +174,12 @@ class PrefixBPE:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_and_decode(text)[0], np.int32).tolist()
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.words.old = {}
+        self.words.clear()
+        self.compatible.cache_clear()
+
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: the tokens are joined by one space."""
         return " ".join(map(self.token.__getitem__, ids))
@@ -218,6 +224,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keys: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        claim("bpe", bpe.forget)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)

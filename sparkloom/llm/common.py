@@ -9,6 +9,7 @@ import re
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,20 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Python workers are used again by other operators: what those have cached goes when another one begins. clear
+    empties the owner's own caches; it is kept for the next one that claims."""
+    others = [_caches.pop(name) for name in [*_caches] if name != owner]
+    for other in others:
+        other()
+    _caches[owner] = clear
+    if others:
+        trim()
+
+
 def trim() -> None:
     """What a Python worker has freed goes back to the system, so that a worker that is used again starts small."""
     pa.default_memory_pool().release_unused()

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, low_bytes, number, packed, release, small_batches, text_or_empty, trim
+from .common import Stored, claim, low_bytes, number, packed, release, small_batches, text_or_empty, trim
 
 WORDS = 5
 #: A link needs NEAR[0] * union <= NEAR[1] * intersection; at most this distance.
@@ -101,6 +101,7 @@ def _emitted(source: DataFrame, buckets: int) -> DataFrame:
     schema = f"bucket int, batch bigint, data binary, idx int, k {kind}, n bigint, a bigint, b bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard", _hashes.clear)
         part, made = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         keys: list[pa.Array] = []

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, small_batches, text_or_empty, trim
+from .common import Stored, claim, small_batches, text_or_empty, trim
 
 #: Bound of the labelled rows that are fitted on, and of the rows that a view hands over a class and round.
 LABELLED = 8000
@@ -269,6 +269,7 @@ def featured(df: DataFrame, key: str = "doc_id", carry: bool = False) -> DataFra
     names = source.columns[:-4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality", _slots.clear)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)

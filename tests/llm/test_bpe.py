@@ -57,3 +57,18 @@ def test_edge_cases(spark, edge, library):
     assert by[1]["n_tokens"] == by[2]["n_tokens"] == by[7]["n_tokens"] == 0
     assert by[4]["n_tokens"] == len(library.encode(edge.where("doc_id = 4").first()["text"], add_special_tokens=False).ids)
     assert bpe.encode_decode(edge.limit(0), PATH).count() == 0
+
+
+def test_caches_go_when_another_operator_begins(monkeypatch):
+    from sparkloom.llm import common
+
+    monkeypatch.setattr(common, "_caches", {})
+    mine, gone = bpe.load(PATH), []
+    mine.encode("some words to keep")
+    common.claim("bpe", mine.forget)
+    common.claim("bpe", mine.forget)
+    assert len(mine.words) >= 4
+    common.claim("other", lambda: gone.append(1))
+    assert not mine.words and not gone
+    common.claim("bpe", mine.forget)
+    assert gone == [1]
